@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 PLACEHOLDERS = ("", "none", "nan", "-", "n/a")
 
 #: White space and marks without width that may surround a value.
-BLANKS = r"[\s  -‍⁠  　﻿]"
+BLANKS = r"[\s\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 
 
 def stripped(c: Column | str) -> Column:
