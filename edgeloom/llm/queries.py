@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.text import given
-from edgeloom.llm import cross_split, formatting_copies, grouped_splits, match_groups, representatives
+from edgeloom.llm import cross_split, formatting_copies, grouped_splits, match_groups, representatives, similar_vectors
 from edgeloom.llm.oracle import ORACLE
 from edgeloom.session import table
 
@@ -51,6 +51,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives.best_genes(table(spark, sf_dir, "gen_id_mapping_table"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_lo, vec_hi): pairs of cosine 0.80 or more of which one is among the other's ten nearest of its collection."""
+    return similar_vectors.similar_pairs(table(spark, sf_dir, "embedding_catalog"))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, near_id, cosine): the ten most similar vectors of every vector, whatever the cosine."""
+    return similar_vectors.neighbours(similar_vectors.comparable(table(spark, sf_dir, "embedding_catalog"))).drop("grp")
+
+
 def _identity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "graph_edges").filter(F.col("relation").contains("-syn-"))
     return edges.filter(given("node1") & given("node2")).select("node1", "node2")
@@ -75,6 +85,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_edges": p4_edges,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,
     "p7_group_sizes": p7_group_sizes,
 }
