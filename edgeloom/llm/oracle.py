@@ -53,12 +53,20 @@ walk(start, node) AS (SELECT u, u FROM e UNION SELECT w.start, e.v FROM walk w J
 g AS (SELECT min(start) AS group_id, node AS node_id FROM walk GROUP BY node)
 """
 
+_PASSAGES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dp AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM d)),
+ip AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (p)"""
+
 ORACLE = {
     "p3_found": _GENES + "SELECT * FROM found",
     "p3_counts": _GENES + "SELECT benchmark, split, count(DISTINCT (scope_key, ensg)) AS n_collisions, count(*) AS n_rows FROM known SEMI JOIN found USING (benchmark, scope_key, ensg) GROUP BY ALL",
     "p4_found": _EDGES + "SELECT keep_id, edge_id AS copy_id FROM g WHERE edge_id <> keep_id",
     "p4_edges": _EDGES + "SELECT keep_id, n_copies FROM g WHERE edge_id = keep_id",
     "p5_found": _BEST,
+    "p9_found": _PASSAGES,
     "p7_found": _GROUPS + "SELECT group_id, node_id FROM g",
     "p7_group_sizes": _GROUPS + ", s AS (SELECT count(*) AS n_nodes FROM g GROUP BY group_id) SELECT n_nodes, count(*) AS n_groups FROM s GROUP BY 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.text import given
-from edgeloom.llm import cross_split, formatting_copies, grouped_splits, match_groups, representatives, similar_vectors
+from edgeloom.llm import corpus_encoding, cross_split, formatting_copies, grouped_splits, leakage, match_groups, representatives, similar_vectors
 from edgeloom.llm.oracle import ORACLE
 from edgeloom.session import table
 
@@ -77,6 +77,25 @@ def p7_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("n_nodes").agg(F.count("*").alias("n_groups"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): every document's text as byte_bpe_50k ids, without special tokens."""
+    return corpus_encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): documents with at least twelve consecutive words of an item."""
+    return _leaks(spark, sf_dir).filter(F.col("run") >= leakage.WORDS).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, n_documents, n_exact, longest_run): what leaked of each item, altered passages included."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count_if(F.col("errors") == 0).alias("n_exact"), F.max("run").alias("longest_run"))
+
+
 QUERIES = {
     "p1_splits": p1_splits,
     "p1_shares": p1_shares,
@@ -89,4 +108,7 @@ QUERIES = {
     "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,
     "p7_group_sizes": p7_group_sizes,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
