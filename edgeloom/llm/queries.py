@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.text import given
-from edgeloom.llm import corpus_encoding, cross_split, formatting_copies, grouped_splits, leakage, match_groups, representatives, similar_vectors
+from edgeloom.llm import corpus_encoding, cross_split, formatting_copies, grouped_splits, languages, leakage, match_groups, representatives, similar_vectors
 from edgeloom.llm.oracle import ORACLE
 from edgeloom.session import table
 
@@ -96,6 +96,27 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count_if(F.col("errors") == 0).alias("n_exact"), F.max("run").alias("longest_run"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = languages.fitted(table(spark, sf_dir, "lang_samples"), "lang", "text")
+    return languages.language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, segment, lang): the segments' languages of documents whose label is missing or wrong, or that mix languages."""
+    return _segments(spark, sf_dir).filter("is_case").select("doc_id", "segment", "lang")
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, confidence, n_segments, n_languages): the language of most segments of each document with one.
+
+    Ties go to the higher summed confidence, then to the first code.
+    """
+    each = _segments(spark, sf_dir).groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    best = F.max(F.struct("n", "c", F.transform(F.split("lang", ""), lambda x: -F.ascii(x)).alias("o"), "lang"))
+    whole = each.groupBy("doc_id").agg(best.alias("b"), F.sum("n").alias("n_segments"), F.count("*").alias("n_languages"))
+    return whole.select("doc_id", F.col("b.lang").alias("lang"), (F.col("b.c") / F.col("n_segments")).alias("confidence"), "n_segments", "n_languages")
+
+
 QUERIES = {
     "p1_splits": p1_splits,
     "p1_shares": p1_shares,
@@ -111,4 +132,6 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_documents": p10_documents,
 }
