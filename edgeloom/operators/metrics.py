@@ -2,21 +2,29 @@
 
 Tied scores count as one threshold. Rows with a null label or score are left
 out. Tables are first reduced to one row a distinct score, with hits and
-misses combined before the shuffle; running sums are over those.
+misses combined before the shuffle; running sums are over those, range by range.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.plans.ranking import running_sums
+
 
 def thresholds(scored: DataFrame, group: list[str]) -> DataFrame:
     """(group..., score, p, n, tp, fp, pos, neg): by distinct score, hits and misses there and from there up."""
     own = scored.filter("label IS NOT NULL AND score IS NOT NULL").groupBy(*group, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    by = Window.partitionBy(*(group or [F.lit(0)]))
-    up = by.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return own.select(*group, "score", "p", "n", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"), F.sum("p").over(by).alias("pos"), F.sum("n").over(by).alias("neg"))
+    totals = own.groupBy(*group).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    up = running_sums(own.withColumn("_down", -F.col("score")), group, "_down", {"tp": "p", "fp": "n"}).drop("_down").alias("a")
+    if not group:
+        return up.crossJoin(totals).select("score", "p", "n", "tp", "fp", "pos", "neg")
+    b = totals.alias("b")
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group])
+    return up.join(b, on).select(*[F.col(f"a.{g}") for g in group], "score", "p", "n", "tp", "fp", "pos", "neg")
 
 
 def average_precision(scored: DataFrame, group: list[str]) -> DataFrame:

@@ -32,6 +32,28 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], place)
 
 
+def running_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of its column over the group's rows up to this one in ascending ``order``.
+
+    Rows are range-partitioned by group and order; a running sum is the sums
+    of the group's earlier partitions plus the one within the partition, so no
+    task sees more of a group than its own range. ``order`` should be unique
+    in a group and not null.
+    """
+    by = [F.col(c) for c in [*group, order]]
+    rows = materialise(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "running")
+    parts = rows.groupBy(*group, "_p").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())])
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*group, "_p", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))])
+    within = Window.partitionBy(*group, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(c).over(within).alias(f"_l{i}") for i, c in enumerate(sums.values())])
+    a, b = local.alias("a"), offsets.alias("b")
+    on = F.col("a._p") == F.col("b._p")
+    for g in group:
+        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], *[(F.col(f"a._l{i}") + F.col(f"b._o{i}")).alias(n) for i, n in enumerate(sums)])
+
+
 def dense_index(df: DataFrame, column: str, name: str = "idx") -> DataFrame:
     """(column, idx): the distinct values numbered from 0 in ascending order."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
