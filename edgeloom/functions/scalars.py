@@ -51,7 +51,7 @@ def symbol_of(c: Column) -> Column:
 
 def list_items(c: Column, separator: str = "|") -> Column:
     """The trimmed, non-empty items of a delimited list; an empty array for null."""
-    return F.coalesce(F.filter(F.transform(F.split(c, rf"\Q{separator}\E"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(c, rf"\Q{separator}\E"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def list_length(c: Column, separator: str = "|") -> Column:
