@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.functions.text import alnum_key
 from edgeloom.operators.edges import edge_table, ends
 
 
@@ -23,5 +24,5 @@ def new_edges(stream: DataFrame, late: str = "30 days") -> DataFrame:
 def degree_windows(stream: DataFrame, width: str = "30 days", late: str = "30 days") -> DataFrame:
     """(start, node, degree): rows that name a node, by window of loading time, with late rows up to the watermark."""
     keyed = stream.withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).withWatermark("loaded_at", late)
-    rows = keyed.select("loaded_at", F.lower("node1").alias("node1"), F.lower("node2").alias("node2"), "node1_type", "node2_type").dropna(subset=["node1", "node2"])
+    rows = keyed.select("loaded_at", alnum_key("node1").alias("node1"), alnum_key("node2").alias("node2"), "node1_type", "node2_type").filter("node1 <> '' AND node2 <> ''")
     return ends(rows, "loaded_at").groupBy(F.window("loaded_at", width), "node").agg(F.count("*").alias("degree")).select(F.col("window.start").alias("start"), "node", "degree")
