@@ -18,8 +18,9 @@ from edgeloom.plans.ranking import running_sums
 def thresholds(scored: DataFrame, group: list[str]) -> DataFrame:
     """(group..., score, p, n, tp, fp, pos, neg): by distinct score, hits and misses there and from there up."""
     own = scored.filter("label IS NOT NULL AND score IS NOT NULL").groupBy(*group, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    totals = own.groupBy(*group).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    # The running sums are read back from a table, so the totals don't compute the scores again.
     up = running_sums(own.withColumn("_down", -F.col("score")), group, "_down", {"tp": "p", "fp": "n"}).drop("_down").alias("a")
+    totals = up.groupBy(*group).agg(F.max("tp").alias("pos"), F.max("fp").alias("neg"))
     if not group:
         return up.crossJoin(totals).select("score", "p", "n", "tp", "fp", "pos", "neg")
     b = totals.alias("b")
