@@ -268,6 +268,6 @@ SELECT *, n_25 AS n_25_in_50, n_50 AS n_50_in_75 FROM k""",
     "confusion": f"WITH {_SCORES}, v AS (SELECT relation, score, label FROM l WHERE split = 'val'), t AS (SELECT relation, score, sum(label) AS p, sum(1 - label) AS n FROM v GROUP BY ALL), c AS (SELECT *, sum(p) OVER u AS tp, sum(n) OVER u AS fp, sum(p) OVER (PARTITION BY relation) AS pos FROM t WINDOW u AS (PARTITION BY relation ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), h AS (SELECT DISTINCT ON (relation) relation, score AS threshold FROM c WHERE pos > 0 ORDER BY relation, round(2.0 * tp / (tp + fp + pos), 12) DESC, score), k AS (SELECT relation, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label <> 1) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn, count(*) FILTER (score < threshold AND label <> 1) AS tn FROM l JOIN h USING (relation) WHERE split = 'test' GROUP BY 1) SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM k",
     "pr_curve": _areas(" SELECT relation, score AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / nullif(pos, 0), 6) AS recall FROM c", "relation", "split = 'test'"),
     "roc_curve": _areas(" SELECT relation, score AS threshold, round(fp / nullif(neg, 0), 6) AS fpr, round(tp / nullif(pos, 0), 6) AS tpr FROM c", "relation", "split = 'test'"),
-    "precision_at_k": f"WITH {_SCORES} SELECT relation, split, round(avg(label), 6) AS precision_at_k, count(*) AS n_ranked FROM (SELECT *, row_number() OVER (PARTITION BY relation, split ORDER BY score DESC, pair_id) AS r FROM l) WHERE r <= 10 GROUP BY 1, 2",
+    "precision_at_k": f"WITH {_SCORES} SELECT relation, split, round(avg(label), 6) AS precision_at_k, count(*) AS n_ranked FROM (SELECT *, row_number() OVER (PARTITION BY relation, split ORDER BY score DESC, pair_id) AS r FROM l WHERE label IS NOT NULL) WHERE r <= 10 GROUP BY 1, 2",
     "hits_mrr": f"WITH {_SCORES}, x AS (SELECT * FROM l WHERE split = 'test'), q AS (SELECT p.relation, p.pair_id, 1 + count(c.pair_id) AS rank FROM (SELECT * FROM x WHERE label = 1) p LEFT JOIN (SELECT * FROM x WHERE label = 0) c ON c.relation = p.relation AND c.n1 = p.n1 AND c.score > p.score GROUP BY 1, 2) SELECT relation, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_k, round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries FROM q GROUP BY 1",
 }
