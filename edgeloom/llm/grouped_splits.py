@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.text import alnum_key, given
+from edgeloom.llm.match_groups import match_groups
 from edgeloom.plans.durable import materialise
 from edgeloom.plans.skew import join_hot
 
@@ -119,3 +120,18 @@ def edge_records(edges: DataFrame) -> DataFrame:
         F.when(named, F.concat(F.lit("n:"), alnum_key("node1"))).otherwise(F.concat(F.lit("e:"), F.coalesce(F.col("edge_id").cast("string"), F.lit("")))).alias("component"),
         F.coalesce(alnum_key("database"), F.lit("")).alias("label"),
     )
+
+
+def linked_components(records: DataFrame, record_id: str, keys: list[str]) -> DataFrame:
+    """(id, component): one component for all records linked, directly or over others, by a value of any of the key columns.
+
+    Null keys link nothing; a record without any key is its own component.
+    Equal values of different columns don't link. The links are records
+    against values, so a value that a third of the records share costs one
+    link a record, never a pair of records.
+    """
+    name = F.concat(F.lit("r:"), F.col(record_id).cast("string"))
+    values = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"k:{k}:"), F.col(k).cast("string"))) for k in keys]
+    links = records.select(name.alias("a"), F.explode(F.array(name, *values)).alias("b")).filter("b IS NOT NULL")
+    groups = match_groups(links, "a", "b")
+    return groups.filter(F.col("node_id").startswith("r:")).select(F.substring("node_id", 3, 1 << 30).alias("id"), F.col("group_id").alias("component"))

@@ -106,3 +106,9 @@ def test_groups_of_chains_stars_and_loops(spark):
 
 def test_no_pairs(spark):
     assert M.match_groups(spark.createDataFrame([], "p string, q string"), "p", "q").count() == 0
+
+
+def test_records_linked_over_several_keys(spark):
+    rows = [(1, "ann", "s1"), (2, "ann", "s2"), (3, None, "s2"), (4, "bob", "s3"), (5, None, None), (6, "s3", None)]
+    got = {r.id: r.component for r in S.linked_components(spark.createDataFrame(rows, "i bigint, author string, source string"), "i", ["author", "source"]).collect()}
+    assert got["1"] == got["2"] == got["3"] and len({got[str(i)] for i in (1, 4, 5, 6)}) == 4
