@@ -37,17 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _files(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+    """Write ``df`` to the shared folder and return a scan of what was written.
+
+    The table is deleted when the driver ends, or by ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/edgeloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
     cut = spark.read.schema(df.schema).parquet(path)
     cut._edgeloom_path = path
     return cut
@@ -57,7 +61,8 @@ def discard(cut: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later plan reads."""
     path = getattr(cut, "_edgeloom_path", None)
     if path:
-        _delete(cut.sparkSession, path)
+        files, target = _files(cut.sparkSession, path)
+        files.delete(target, True)
 
 
 @atexit.register
