@@ -6,7 +6,7 @@ them and a larger sample contains the smaller one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import draw, keyed_md5
@@ -102,3 +102,22 @@ def leak_checks(splits: DataFrame, negatives_: DataFrame) -> DataFrame:
     counts.append(F.count_if((F.col("train1") | F.col("val1") | F.col("test1")) & (F.col("train0") | F.col("val0") | F.col("test0"))).alias("positive_negative"))
     counts.append(F.count_if((F.col("train0").cast("int") + F.col("val0").cast("int") + F.col("test0").cast("int")) > 1).alias("negatives_twice"))
     return met.agg(*counts).unpivot([], [*pairs, "positive_negative", "negatives_twice"], "check", "n").withColumn("ok", F.col("n") == 0)
+
+
+def ranking_candidates(positives: DataFrame, pool: DataFrame, known: DataFrame, n: int = 99, seed: int = SEED) -> DataFrame:
+    """(n1, n2, candidate, is_true): each positive pair's own n2 and up to n others of the pool (node) drawn for it.
+
+    Twice n places are drawn by hash; what is the true node, drawn before or a
+    known pair in either direction is left out, and the first n stay. A pool
+    that offers fewer gives fewer.
+    """
+    places = dense_index(pool, "node")
+    size = places.agg(F.count("*").alias("_n"))
+    asked = positives.select("n1", "n2").distinct()
+    draws = asked.crossJoin(size).filter("_n > 0").select("n1", "n2", "_n", F.explode(F.sequence(F.lit(0), F.lit(2 * n - 1))).alias("i"))
+    picks = draws.withColumn("idx", draw(seed, F.col("_n"), F.lit("rank"), "n1", "n2", "i")).join(places.withColumnRenamed("node", "candidate"), "idx").filter("candidate <> n2")
+    taken = known.select(F.explode(F.array(F.struct(F.col("n1"), F.col("n2").alias("candidate")), F.struct(F.col("n2").alias("n1"), F.col("n1").alias("candidate")))).alias("k")).select("k.*").distinct()
+    fresh = picks.join(taken, ["n1", "candidate"], "left_anti").groupBy("n1", "n2", "candidate").agg(F.min("i").alias("i"))
+    first = F.row_number().over(Window.partitionBy("n1", "n2").orderBy("i"))
+    kept = fresh.withColumn("_r", first).filter(F.col("_r") <= n).select("n1", "n2", "candidate", F.lit(False).alias("is_true"))
+    return kept.unionByName(asked.select("n1", "n2", F.col("n2").alias("candidate"), F.lit(True).alias("is_true")))

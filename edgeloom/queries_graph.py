@@ -42,6 +42,18 @@ def _eval(s, d):
     return M.ranking_report(long, ["method"])
 
 
+def _ranked(s, d):
+    """Hits@10 and mean reciprocal rank of held-out pairs among 99 typed candidates each, by common neighbours."""
+    e = materialise(edges(s, d), "edges")
+    pairs = task_pairs(e)
+    test = materialise(S.protected(pairs, e).filter(~F.col("protected") & (draw(S.SEED, 100, "n1", "n2") < 20)).select("n1", "n2"), "test")
+    adjacency = materialise(E.closure(E.exclude_pairs(e, test.withColumn("relation", F.lit(TASK)))), "adjacency")
+    asked = materialise(S.ranking_candidates(test, E.ends(e).filter("node_type = 'DIS'").select("node"), pairs), "candidates")
+    scored = G.neighbour_scores(adjacency, asked.select("n1", F.col("candidate").alias("n2")).distinct())
+    ranked = asked.join(scored.select("n1", F.col("n2").alias("candidate"), F.col("common_neighbors").alias("score")), ["n1", "candidate"]).withColumn("query", F.struct("n1", "n2"))
+    return M.hits_and_mrr(ranked, [], "query", 10)
+
+
 def _components(s, d):
     return G.connected_components(materialise(E.closure(edges(s, d)), "adjacency"))
 
@@ -91,6 +103,7 @@ def _attention(s, d):
 QUERIES = {
     "heuristics_scores": lambda s, d: scored_pairs(s, d).select("n1", "n2", "label", "preferential_attachment", "common_neighbors", F.round("jaccard", 8).alias("jaccard")),
     "heuristics_eval": _eval,
+    "heuristics_ranked": _ranked,
     "components": _components,
     "component_sizes": _component_sizes,
     "adjacency_lists": lambda s, d: G.adjacency_lists(edges(s, d)).select("node", F.size("nbrs").alias("n"), F.md5(F.array_join("nbrs", ",")).alias("nbrs_md5")),
@@ -142,6 +155,14 @@ ORACLE = {
     + ", l AS (SELECT label, unnest(['preferential_attachment', 'common_neighbors', 'jaccard']) AS method, unnest([preferential_attachment, common_neighbors, jaccard]) AS score FROM s)"
     + AREAS.format(g="method")
     + " SELECT method, round(sum(p * (neg - fp + 0.5 * n)) / max(pos * neg), 6) AS auroc, round(sum(p / pos * tp / (tp + fp)), 6) AS auprc, CAST(sum(p + n) AS BIGINT) AS n_test, CAST(sum(p) AS BIGINT) AS n_pos_test FROM c GROUP BY 1",
+    "heuristics_ranked": _SCORES
+    + f""", c0 AS (SELECT n1, n2, i, {draw_sql(42, 'nb', "'rank'", 'n1', 'n2', 'i')} AS ib FROM (SELECT n1, n2, nb, unnest(generate_series(0, 197)) AS i FROM test, size)),
+c1 AS (SELECT n1, n2, gb.node AS c, min(c0.i) AS i FROM c0 JOIN gb ON gb.i = ib WHERE gb.node <> n2 AND (n1, gb.node) NOT IN (SELECT (n1, n2) FROM pairs) AND (gb.node, n1) NOT IN (SELECT (n1, n2) FROM pairs) GROUP BY 1, 2, 3),
+c2 AS (SELECT n1, n2, c, false AS t FROM c1 QUALIFY row_number() OVER (PARTITION BY n1, n2 ORDER BY i) <= 99 UNION ALL SELECT n1, n2, n2, true FROM test),
+k AS (SELECT n1, c, count(*) AS s FROM (SELECT DISTINCT n1, c FROM c2) JOIN adj x ON x.node = n1 JOIN adj y ON y.node = c AND y.nbr = x.nbr GROUP BY 1, 2),
+v AS (SELECT c2.n1, n2, t, coalesce(s, 0) AS s FROM c2 JOIN deg a ON a.node = c2.n1 JOIN deg b ON b.node = c2.c LEFT JOIN k ON k.n1 = c2.n1 AND k.c = c2.c),
+r AS (SELECT v.n1, v.n2, 1 + count(*) FILTER (v.s > w.s) AS rank FROM v JOIN v w ON w.t AND w.n1 = v.n1 AND w.n2 = v.n2 GROUP BY 1, 2)
+SELECT round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_k, round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries FROM r""",
     "components": _COMPONENTS + " SELECT node, component FROM low",
     "component_sizes": _COMPONENTS + ", s AS (SELECT count(*) AS n_nodes FROM low GROUP BY component) SELECT n_nodes, count(*) AS n_components FROM s GROUP BY 1",
     "adjacency_lists": f"WITH {CLEAN}, adj AS (SELECT node1 AS node, node2 AS nbr FROM e WHERE node1 <> node2 UNION SELECT node2, node1 FROM e WHERE node1 <> node2) SELECT node, CAST(count(*) AS INTEGER) AS n, md5(string_agg(nbr, ',' ORDER BY nbr)) AS nbrs_md5 FROM adj GROUP BY 1",

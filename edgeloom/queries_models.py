@@ -40,6 +40,17 @@ def _train_graph(s, d):
     return E.exclude_pairs(e, held).groupBy("relation").agg(F.count("*").alias("n_edges"))
 
 
+def _strict_train_graph(s, d):
+    """The graph for the split by node: without any edge of the task that a held-out node has; n_left counts what stayed, which must be none."""
+    e = _edges(s, d)
+    cold = materialise(S.cold_start(task_pairs(e), e), "cold")
+    held = cold.filter("split <> 'train'")
+    kept = E.exclude_pairs(e, held.withColumn("relation", F.lit(TASK)))
+    nodes = held.select(F.col("n1").alias("node")).distinct().withColumn("held", F.lit(True))
+    left = task_pairs(kept).join(nodes, F.col("n1") == F.col("node"), "left_semi").agg(F.count("*").alias("n_left"))
+    return kept.agg(F.count("*").alias("n_edges")).crossJoin(left)
+
+
 def _rescue(s, d):
     """Held-out pairs of the task that must return so that no node of the graph loses its last edge."""
     e = _edges(s, d)
@@ -168,6 +179,7 @@ QUERIES = {
     "split_cold_start": lambda s, d: (lambda e: S.cold_start(task_pairs(e), e))(_edges(s, d)),
     "negatives": _negatives,
     "train_graph": _train_graph,
+    "strict_train_graph": _strict_train_graph,
     "rescue": _rescue,
     "leak_checks": _leaks,
     "stratified_sample": _stratified,
@@ -239,7 +251,11 @@ _SIMS = f"""one AS (SELECT DISTINCT ON (embedding_source, node) embedding_source
 b AS (SELECT node, g.v AS va, h.v AS vb FROM (SELECT node, v FROM one WHERE source = 'gae') g JOIN (SELECT node, v FROM one WHERE source = 'node2vec') h USING (node) ORDER BY {_md5('node')}, node LIMIT 200),
 sims AS MATERIALIZED (SELECT x.node AS x, y.node AS y, round(list_cosine_similarity(x.va, y.va), 8) AS sa, round(list_cosine_similarity(x.vb, y.vb), 8) AS sb FROM b x JOIN b y ON x.node <> y.node)"""
 
+_COLD = f"""WITH {_TASK}, o AS (SELECT n1, d = 1 AS single, row_number() OVER (PARTITION BY d = 1 ORDER BY {_md5('n1')}, n1) AS r, count(*) OVER () AS total FROM (SELECT DISTINCT n1 FROM pairs) JOIN rowdeg ON node = n1),
+cold AS (SELECT n1, n2, CASE WHEN single THEN 'train' WHEN r <= round_even(total * 0.1, 0) THEN 'val' WHEN r <= round_even(total * 0.1, 0) + round_even(total * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM pairs JOIN o USING (n1))"""
+
 ORACLE = {
+    "strict_train_graph": _COLD + f""" SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_left FROM e WHERE NOT (relation = '{TASK}' AND EXISTS (SELECT 1 FROM cold WHERE split <> 'train' AND least(n1, n2) = least(node1, node2) AND greatest(n1, n2) = greatest(node1, node2)))""",
     "embedding_sanity": """WITH c AS (SELECT *, embedding IS NOT NULL AND len(embedding) = dimension AS sized, CAST(embedding AS DOUBLE[]) AS v FROM embedding_catalog), k AS (SELECT *, sized AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN v]) AS fin FROM c), m AS (SELECT *, CASE WHEN fin THEN sqrt(list_inner_product(v, v)) END AS n FROM k)
 SELECT embedding_source, training_condition, seed, count(*) AS n, count(*) - count(DISTINCT node_id) AS n_repeated, count(*) FILTER (embedding IS NULL) AS n_null, count(*) FILTER (embedding IS NOT NULL AND NOT sized) AS n_missized, count(*) FILTER (sized AND NOT fin) AS n_nonfinite, count(*) FILTER (n = 0) AS n_zero, round(min(n), 5) AS min_norm, round(max(n), 5) AS max_norm, round(avg(n), 5) AS avg_norm FROM m GROUP BY 1, 2, 3""",
     "cosine_knn": f"WITH {_SIMS} SELECT x, y, CAST(r AS INTEGER) AS r, round(sa, 6) AS sa FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sa DESC, y) AS r FROM sims) WHERE r <= 10",
