@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 #: Vocabularies whose ids are no diseases of the graph.
 IGNORED_VOCABULARIES = ("MEDGEN", "SNOMED", "BFO", "ICD", "NCI")
-#: Substring of an id and the prefix it gets, in the order of the rules.
-DISEASE_RULES = (("OMIM", "OMIM"), ("ORPHA", "ORPHA"), ("EFO", "EFO"), ("MONDO", "MONDO"), ("HP", "HP"), ("DOID", "DOID"), ("UMLS", "UMLS"), ("MESH", "MESH"), ("MEDDRA", "MEDDRA"))
+#: Substrings of an id and the prefix it gets, in the order of the rules. A bare DO is no rule, as it would take MONDO for DOID.
+DISEASE_RULES = (("OMIM", "OMIM"), ("ORPH|ORDO", "ORPHA"), ("MONDO", "MONDO"), ("DOID", "DOID"), ("HP", "HP"), ("EFO", "EFO"), ("UMLS|CUI", "UMLS"), ("MESH|MSH", "MESH"))
+#: Forms of ids without a prefix, and the prefix they get, in the order of the rules.
+NAKED_RULES = (("^C.{7}$", "UMLS"), ("^[A-Z][0-9]+$", "MESH"), ("^[0-9]+$", "MEDDRA"))
 #: Evidence codes from the weakest to the strongest.
 EVIDENCE_RANK = {"IEA": 1, "TAS": 2, "PCS": 3}
-#: Substrings of association kinds and their tiers, in the order of the rules; others are tier 5.
-TIERS = (("germline", 1), ("somatic", 2), ("risk", 3), ("candidate", 4))
+#: Association kinds and their tiers, in the order of the rules; others are tier 5.
+TIERS = (
+    ("Disease-causing germline mutation(s) in", 1),
+    ("Disease-causing somatic mutation(s) in", 1),
+    ("Modifying germline mutation in", 2),
+    ("Major susceptibility factor in", 2),
+    ("Role in the phenotype of", 3),
+    ("Part of a fusion gene in", 3),
+    ("Candidate gene tested in", 4),
+)
 
 
 def _code(c: Column) -> Column:
@@ -21,18 +31,18 @@ def _code(c: Column) -> Column:
 
 
 def disease_id(c: Column) -> Column:
-    """PREFIX:code of a disease id in any vocabulary's spelling; null for empty and ignored ones.
+    """PREFIX:code of a disease id in any vocabulary's spelling.
 
-    Naked ids are told by their letters: C and seven digits are UMLS, D or C
-    and six or nine digits MESH. Other ids stay as they are.
+    Null for ids of one character or none, for ignored vocabularies and for
+    what no rule knows. Ids without a prefix are told by their form.
     """
     s = F.trim(c)
     up = F.upper(s)
-    out = F.when(s == "", F.lit(None).cast("string")).when(up.rlike("|".join(IGNORED_VOCABULARIES)), F.lit(None).cast("string"))
-    for mark, prefix in DISEASE_RULES:
-        out = out.when(up.contains(mark), F.concat(F.lit(prefix + ":"), _code(s)))
-    out = out.when(up.rlike("^C[0-9]{7}$"), F.concat(F.lit("UMLS:"), s)).when(up.rlike("^[CD]([0-9]{6}|[0-9]{9})$"), F.concat(F.lit("MESH:"), s))
-    return out.otherwise(s)
+    nothing = F.lit(None).cast("string")
+    out = F.when(F.length(s) <= 1, nothing).when(up.rlike("|".join(IGNORED_VOCABULARIES)), nothing)
+    for marks, prefix in (*DISEASE_RULES, *NAKED_RULES):
+        out = out.when(up.rlike(marks), F.concat(F.lit(prefix + ":"), _code(s)))
+    return out
 
 
 def curie(c: Column) -> Column:
@@ -73,7 +83,7 @@ def evidence_rank(c: Column) -> Column:
 def tier(c: Column) -> Column:
     out = F.when(F.lit(False), F.lit(0))
     for mark, t in TIERS:
-        out = out.when(F.lower(c).contains(mark), F.lit(t))
+        out = out.when(c.contains(mark), F.lit(t))
     return out.otherwise(F.lit(5))
 
 

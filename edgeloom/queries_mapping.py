@@ -224,7 +224,7 @@ CASE WHEN n_reviewed = 1 THEN 'reviewed' WHEN n_reviewed > 1 AND n_reviewed_vect
     "type_lookup": f"""WITH {CLEAN}, n AS (SELECT node1 AS node, node1_type AS t FROM e UNION ALL SELECT node2, node2_type FROM e), l AS (SELECT node, max(t) AS t FROM n WHERE t <> 'DESCONOCIDO' GROUP BY 1), c AS (SELECT {alnum('node_id')} AS node FROM embedding_catalog)
 SELECT coalesce(t, 'DESCONOCIDO') AS node_type, count(*) AS n_vectors, count(DISTINCT c.node) AS n_nodes FROM c LEFT JOIN l ON l.node = c.node GROUP BY 1""",
     "id_normalise": f"""WITH r AS (SELECT DISTINCT regexp_replace(node2, '^ +| +$', '', 'g') AS raw FROM graph_edges WHERE node2_type = 'DIS'), u AS (SELECT raw, upper(raw) AS up, split_part(split_part(split_part(raw, ':', -1), '_', -1), ' ', 1) AS code FROM r)
-SELECT raw, CASE WHEN raw = '' OR regexp_matches(up, '{"|".join(X.IGNORED_VOCABULARIES)}') THEN NULL {" ".join(f"WHEN contains(up, '{m}') THEN '{p}:' || code" for m, p in X.DISEASE_RULES)} WHEN regexp_matches(up, '^C[0-9]{{7}}$') THEN 'UMLS:' || raw WHEN regexp_matches(up, '^[CD]([0-9]{{6}}|[0-9]{{9}})$') THEN 'MESH:' || raw ELSE raw END AS disease, split_part(raw, ':', -1) AS code FROM u""",
+SELECT raw, CASE WHEN length(raw) <= 1 OR regexp_matches(up, '{"|".join(X.IGNORED_VOCABULARIES)}') THEN NULL {" ".join(f"WHEN regexp_matches(up, '{m}') THEN '{p}:' || code" for m, p in (*X.DISEASE_RULES, *X.NAKED_RULES))} END AS disease, split_part(raw, ':', -1) AS code FROM u""",
     "list_explode": "SELECT word, count(*) AS n, count(DISTINCT p_partkey) AS n_parts FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part) WHERE word <> '' GROUP BY 1",
     "action_routing": "SELECT relation, count(*) AS n_pairs FROM (SELECT DISTINCT l_suppkey, l_partkey, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'upe' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'dwe' WHEN l_linestatus = 'O' THEN 'exp' ELSE 'afe' END AS relation FROM lineitem) GROUP BY 1",
     "bucket_hist": "SELECT CAST(CASE WHEN l_quantity < 0 OR l_quantity > 50 THEN NULL WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 20 THEN 1 WHEN l_quantity < 30 THEN 2 WHEN l_quantity < 40 THEN 3 ELSE 4 END AS INTEGER) AS bin, count(*) AS n, format('{:,}', count(*)) AS shown FROM lineitem GROUP BY 1",

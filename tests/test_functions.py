@@ -26,8 +26,8 @@ def test_keys_and_blanks(spark):
 
 
 def test_disease_ids(spark):
-    given = ["MESH:D054198", "Orphanet_166", "SNOMED:1", "", "C0000001", "D012345", None, "EFO_0000400", "OMIM:1 x", "other"]
-    want = ["MESH:D054198", "ORPHA:166", None, None, "UMLS:C0000001", "MESH:D012345", None, "EFO:0000400", "OMIM:1", "other"]
+    given = ["MESH:D054198", "Orphanet_166", "SNOMED:1", "", "C0000001", "D012345", None, "EFO_0000400", "OMIM:1 x", "other", "MONDO:7", "10012345", "x"]
+    want = ["MESH:D054198", "ORPHA:166", None, None, "UMLS:C0000001", "MESH:D012345", None, "EFO:0000400", "OMIM:1", None, "MONDO:7", "MEDDRA:10012345", None]
     assert one(spark, X.disease_id, given) == want
     assert one(spark, X.curie, ["Orphanet_166", "DOID_0050890", "a_b_c"]) == ["ORPHA:166", "DOID:0050890", "a:b_c"]
 
@@ -37,7 +37,7 @@ def test_scalars(spark):
     assert one(spark, X.list_length, ["a|b", None]) == [2, 0]
     assert [[tuple(p) for p in r] for r in one(spark, X.action_pieces, ["increases^expression|x|affects^binding"])] == [[("increases", "expression"), ("affects", "binding")]]
     assert one(spark, X.evidence_rank, ["IEA", "PCS", "zz", None]) == [1, 3, 0, 0]
-    assert one(spark, X.tier, ["Disease-causing germline mutation", "Candidate gene", "other"]) == [1, 4, 5]
+    assert one(spark, X.tier, ["Disease-causing germline mutation(s) in", "Candidate gene tested in", "other"]) == [1, 4, 5]
     assert one(spark, lambda c: X.bucket(c, [0.0, 1.0, 2.0]), [0.0, 1.0, 2.0, 2.1, None], "double") == [0, 1, 1, None, None]
     assert one(spark, X.number_or_null, ["1.5", "x", "nan", None]) == [1.5, None, None, None]
     assert one(spark, X.grouped_number, [1234567, None], "bigint") == ["1,234,567", "~"]
