@@ -171,7 +171,8 @@ QUERIES = {
     "topk_global": lambda s, d: pair_scores(s, d).groupBy("n2").agg(F.sum(F.bround(F.col("score") * 100).cast("bigint")).alias("total")).orderBy(F.desc("total"), "n2").limit(10),
     "matrix_mean": _exact,
     "robust_scale": lambda s, d: _rounded(T.robust_scaled(_exact(s, d))),
-    "quantile_norm": lambda s, d: _rounded(T.quantile_normalised(_exact(s, d))),
+    # A mean of ten rounded values often ends in a 5; the small addend keeps the order of its sum from deciding the rounding.
+    "quantile_norm": lambda s, d: _rounded(T.quantile_normalised(_exact(s, d)).withColumn("value", F.col("value") + 1e-9)),
     "sparsity_filter": lambda s, d: T.sparse_genes(_exact(s, d), 0.8),
     "unpivot_hits": _hits,
     "zscore_outliers": _outliers,
@@ -236,7 +237,7 @@ SELECT raw, CASE WHEN length(raw) <= 1 OR regexp_matches(up, '{"|".join(X.IGNORE
     "topk_global": f"WITH {_SCORE} SELECT n2, CAST(sum(CAST(round_even(score * 100, 0) AS BIGINT)) AS BIGINT) AS total FROM p GROUP BY 1 ORDER BY total DESC, n2 LIMIT 10",
     "matrix_mean": f"WITH {_MATRIX} SELECT sample, gene, value FROM y",
     "robust_scale": f"WITH {_SCALED} SELECT sample, gene, value FROM z",
-    "quantile_norm": f"WITH {_MATRIX}, o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS k, rank() OVER (PARTITION BY sample ORDER BY value) AS r FROM y), a AS (SELECT k, avg(value) AS v FROM o GROUP BY 1) SELECT sample, gene, round(v, 6) AS value FROM o JOIN a ON a.k = o.r",
+    "quantile_norm": f"WITH {_MATRIX}, o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS k, rank() OVER (PARTITION BY sample ORDER BY value) AS r FROM y), a AS (SELECT k, avg(value) AS v FROM o GROUP BY 1) SELECT sample, gene, round(v + 1e-9, 6) AS value FROM o JOIN a ON a.k = o.r",
     "sparsity_filter": f"WITH {_MATRIX} SELECT gene, count(*) FILTER (value <> 0) AS n FROM y GROUP BY 1 HAVING count(*) FILTER (value <> 0) >= (SELECT floor(count(DISTINCT sample) * 0.8) FROM y)",
     "unpivot_hits": f"WITH {_MATRIX} SELECT sample, gene FROM x GROUP BY 1, 2 HAVING max(value) >= 49",
     "zscore_outliers": f"""WITH {CLEAN}, p AS (SELECT DISTINCT node1 AS n1, node2 AS n2 FROM e WHERE relation = 'CPD-int-GEN'), a AS (SELECT n1, count(*) AS d FROM p GROUP BY 1), b AS (SELECT n2, count(*) AS d FROM p GROUP BY 1)
