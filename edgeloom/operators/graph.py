@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.functions.hashing import draw
+from edgeloom.functions.hashing import draw, uniform
 from edgeloom.operators.edges import closure
 from edgeloom.plans.durable import discard, materialise
 
@@ -130,10 +132,12 @@ def cap_hubs(edges: DataFrame, hub: str, cap: int) -> DataFrame:
 def random_walks(adjacency: DataFrame, starts: DataFrame, length: int, walks: int = 1, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """(walk_id, path): second-order walks, the first step uniform, then 1/p back, 1 to a common neighbour, 1/q else.
 
-    Each draw is a hash of seed, walk and step. A step picks the neighbour at
-    which the running sum of weights passes the draw. With p = q = 1 only the
-    neighbour at the drawn place is fetched, so a hub isn't expanded; otherwise
-    a step lists the present node's neighbours. Walks of isolated nodes end.
+    Each draw is a hash of seed, walk and step. With p = q = 1 the neighbour
+    at the drawn place is fetched; otherwise uniform places are proposed and
+    kept with probability of their weight over the largest, and only the few
+    walks that keep none list the present node's neighbours and pass their
+    running sum of weights, so a hub is rarely expanded. Walks of isolated
+    nodes end.
     """
     w = Window.partitionBy("node").orderBy("nbr")
     placed = materialise(adjacency.filter("node <> nbr").withColumn("i", F.row_number().over(w) - 1), "placed")
@@ -147,19 +151,30 @@ def random_walks(adjacency: DataFrame, starts: DataFrame, length: int, walks: in
         if step == 1 or (p == 1 and q == 1):
             moved = going.withColumn("i", draw(seed, F.col("d"), F.col("walk_id"), F.lit(step)).cast("int")).join(placed, ["node", "i"])
         else:
-            u = (draw(seed, 1 << 30, F.col("walk_id"), F.lit(step)) + F.lit(0.5)) / F.lit(float(1 << 30))
-            options = going.withColumn("u", u).join(placed, "node")
-            back = placed.select(F.col("node").alias("prev"), F.col("nbr"), F.lit(True).alias("near"))
-            weight = F.when(F.col("nbr") == F.col("prev"), 1 / p).when(F.coalesce("near", F.lit(False)), 1.0).otherwise(1 / q)
-            options = options.join(back, ["prev", "nbr"], "left").withColumn("w", weight)
-            own = Window.partitionBy("walk_id")
-            run = options.withColumn("run", F.sum("w").over(own.orderBy("nbr").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(own))
-            moved = run.filter(F.col("run") >= F.col("u") * F.col("all")).withColumn("first", F.row_number().over(own.orderBy("nbr"))).filter("first = 1")
+            moved = _weighted_step(going, placed, step, p, q, seed)
         moved = moved.select("walk_id", F.col("nbr").alias("node"), F.col("node").alias("prev"), F.concat("path", F.array("nbr")).alias("path"))
         state = materialise(moved.unionByName(ended), "walks")
     return state.select("walk_id", "path")
 
 
+def _weighted_step(going: DataFrame, placed: DataFrame, step: int, p: float, q: float, seed: int) -> DataFrame:
+    """``going`` with nbr, one weighted neighbour each: the first kept of so many proposals that a walk has none at odds of e**-4 at most, else by listing."""
+    top, least = max(1 / p, 1.0, 1 / q), min(1 / p, 1.0, 1 / q)
+    back = placed.select(F.col("node").alias("prev"), F.col("nbr"), F.lit(True).alias("near"))
+    weight = F.when(F.col("nbr") == F.col("prev"), 1 / p).when(F.coalesce("near", F.lit(False)), 1.0).otherwise(1 / q)
+    key = [F.col("walk_id"), F.lit(step)]
+    tries = going.select("walk_id", "node", "prev", "d", F.explode(F.sequence(F.lit(0), F.lit(4 * math.ceil(top / least) - 1))).alias("t"))
+    named = tries.withColumn("c", uniform(seed, *key, F.col("t"), F.lit("keep")) * top).withColumn("i", draw(seed, F.col("d"), *key, F.col("t")).cast("int")).join(placed, ["node", "i"]).join(back, ["prev", "nbr"], "left")
+    kept = materialise(named.filter(F.col("c") < weight).groupBy("walk_id").agg(F.min_by("nbr", "t").alias("nbr")), "kept")
+    u = (draw(seed, 1 << 30, *key) + F.lit(0.5)) / F.lit(float(1 << 30))
+    options = going.join(kept, "walk_id", "left_anti").withColumn("u", u).join(placed, "node").join(back, ["prev", "nbr"], "left").withColumn("w", weight)
+    own = Window.partitionBy("walk_id")
+    run = options.withColumn("run", F.sum("w").over(own.orderBy("nbr").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(own))
+    listed = run.filter(F.col("run") >= F.col("u") * F.col("all")).withColumn("first", F.row_number().over(own.orderBy("nbr"))).filter("first = 1")
+    cols = ["walk_id", "node", "path", "nbr"]
+    return going.join(kept, "walk_id").select(*cols).unionByName(listed.select(*cols))
+
+
 def walk_pairs(walks: DataFrame) -> DataFrame:
     """(a, b, n): consecutive nodes of walks and how often they follow each other."""
     pair = F.explode(F.arrays_zip(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("a"), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))).alias("b")))

@@ -72,9 +72,15 @@ def _walks(s, d):
     return G.random_walks(adj, adj.filter(F.col("node").startswith("cvcl")), 5, seed=7)
 
 
+def whole_adjacency(s, d):
+    """The closure of the whole edge table; self-loops keep nodes that have nothing else."""
+    return materialise(E.closure(edges(s, d)), "adjacency")
+
+
 def _biased(s, d):
-    adj = materialise(_mutation_adjacency(s, d), "adjacency")
-    w = G.random_walks(adj, adj.filter(F.col("node").startswith("cvcl")), 4, p=0.25, q=4.0, seed=7)
+    """Second-order walks from every node of the graph, as many and as long as node2vec's."""
+    adj = whole_adjacency(s, d)
+    w = G.random_walks(adj, adj, 10, 4, p=0.25, q=4.0, seed=7)
     return w.select("walk_id", F.array_join("path", " ").alias("path"))
 
 
@@ -85,19 +91,18 @@ def _hub_walk_pairs(s, d):
     return G.walk_pairs(lines)
 
 
-def _propagated(s, d):
+def _propagated(adj):
     """One step of normalised message passing of each node's degree and of one."""
-    adj = materialise(_mutation_adjacency(s, d), "adjacency")
-    x = adj.groupBy("node").agg(F.array(F.count("*").cast("double"), F.lit(1.0)).alias("x"))
+    x = adj.groupBy("node").agg(F.array(F.count_if(F.col("node") != F.col("nbr")).cast("double"), F.lit(1.0)).alias("x"))
     return G.propagate(G.normalised_adjacency(adj), x).select("node", F.round(F.col("x")[0], 6).alias("x0"), F.round(F.col("x")[1], 6).alias("x1"))
 
 
-def _attention(s, d):
-    """Softmax over each node's neighbours of the neighbours' log degree."""
-    adj = materialise(_mutation_adjacency(s, d), "adjacency")
+def _attention(adj, nudge=0.0):
+    """Softmax over each node's neighbours of the neighbours' log degree; ``nudge`` takes shares off the half at which rounding hangs on the last bit."""
+    adj = adj.filter("node <> nbr")
     deg = adj.groupBy("node").agg(F.count("*").alias("n"))
     e = adj.join(deg.select(F.col("node").alias("nbr"), F.log("n").alias("e")), "nbr")
-    return G.edge_softmax(e).select("node", "nbr", F.round("a", 6).alias("a"))
+    return G.edge_softmax(e).select("node", "nbr", F.round(F.col("a") + nudge, 6).alias("a"))
 
 
 QUERIES = {
@@ -116,8 +121,10 @@ QUERIES = {
     "random_walk": lambda s, d: _walks(s, d).select("walk_id", F.array_join("path", " ").alias("path")),
     "random_walk_biased": _biased,
     "walk_pairs": _hub_walk_pairs,
-    "propagate": _propagated,
-    "edge_softmax": _attention,
+    "propagate": lambda s, d: _propagated(materialise(_mutation_adjacency(s, d), "adjacency")),
+    "edge_softmax": lambda s, d: _attention(materialise(_mutation_adjacency(s, d), "adjacency")),
+    "propagate_graph": lambda s, d: _propagated(whole_adjacency(s, d)),
+    "edge_softmax_graph": lambda s, d: _attention(whole_adjacency(s, d), 1e-10),
 }
 
 
@@ -128,6 +135,7 @@ def draw_sql(seed: int, n: str, *cols: str) -> str:
 
 
 _MUT = CLEAN + ", adj AS (SELECT node1 AS node, node2 AS nbr FROM e WHERE relation = 'CLL-mut-GEN' AND node1 <> node2 UNION SELECT node2, node1 FROM e WHERE relation = 'CLL-mut-GEN' AND node1 <> node2), deg AS (SELECT node, count(*) AS d FROM adj GROUP BY 1)"
+_WHOLE = CLEAN + ", adj AS (SELECT node1 AS node, node2 AS nbr FROM e WHERE node1 <> node2 UNION SELECT node2, node1 FROM e WHERE node1 <> node2), v AS (SELECT node1 AS node FROM e UNION SELECT node2 FROM e), deg AS (SELECT node, count(*) AS d FROM adj GROUP BY 1)"
 _SCORES = f"""WITH {ENDS}, rowdeg AS (SELECT node, count(*) AS d FROM n GROUP BY 1),
 pairs AS (SELECT DISTINCT CASE WHEN starts_with(node1, 'ensg') THEN node1 ELSE node2 END AS n1, CASE WHEN starts_with(node1, 'ensg') THEN node2 ELSE node1 END AS n2 FROM e WHERE relation = '{TASK}'),
 test AS MATERIALIZED (SELECT n1, n2 FROM pairs JOIN rowdeg a ON a.node = n1 JOIN rowdeg b ON b.node = n2 WHERE a.d > 1 AND b.d > 1 AND {draw_sql(42, '100', 'n1', 'n2')} < 20),
@@ -184,4 +192,7 @@ SELECT walk_id, path FROM w WHERE step = 4""",
     "propagate": f"""WITH {_MUT}, a AS (SELECT node, nbr FROM adj UNION ALL SELECT node, node FROM deg), s AS (SELECT node, count(*) AS d FROM a GROUP BY 1)
 SELECT a.node, round(sum(deg.d / sqrt(x.d * y.d)), 6) AS x0, round(sum(1 / sqrt(x.d * y.d)), 6) AS x1 FROM a JOIN s x ON x.node = a.node JOIN s y ON y.node = a.nbr JOIN deg ON deg.node = a.nbr GROUP BY 1""",
     "edge_softmax": f"WITH {_MUT} SELECT a.node, nbr, round(d / sum(d) OVER (PARTITION BY a.node), 6) AS a FROM adj a JOIN deg ON deg.node = a.nbr",
+    "propagate_graph": f"""WITH {_WHOLE}, a AS (SELECT node, nbr FROM adj UNION ALL SELECT node, node FROM v), s AS (SELECT node, count(*) AS d FROM a GROUP BY 1)
+SELECT a.node, round(sum(coalesce(deg.d, 0) / sqrt(x.d * y.d)), 6) AS x0, round(sum(1 / sqrt(x.d * y.d)), 6) AS x1 FROM a JOIN s x ON x.node = a.node JOIN s y ON y.node = a.nbr LEFT JOIN deg ON deg.node = a.nbr GROUP BY 1""",
+    "edge_softmax_graph": f"WITH {_WHOLE} SELECT a.node, nbr, round(d / sum(d) OVER (PARTITION BY a.node) + 1e-10, 6) AS a FROM adj a JOIN deg ON deg.node = a.nbr",
 }

@@ -13,7 +13,7 @@ from edgeloom.operators import splits as S
 from edgeloom.operators import vectors as V
 from edgeloom.plans.durable import materialise
 from edgeloom.queries_edges import CLEAN, ENDS, alnum, edges
-from edgeloom.queries_graph import AREAS, TASK, draw_sql, task_pairs
+from edgeloom.queries_graph import AREAS, TASK, draw_sql, task_pairs, whole_adjacency
 from edgeloom.session import table
 
 
@@ -159,10 +159,6 @@ def _pca(s, d):
     return L.pca2(a).select("node", F.round(F.abs("pc1"), 4).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2"))
 
 
-def _mutations(s, d):
-    return materialise(E.closure(edges(s, d).filter("relation = 'CLL-mut-GEN'"), self_loops=False), "adjacency")
-
-
 def _hin(s, d):
     e = edges(s, d).filter("relation IN ('GEN-ass-PWY', 'CLL-mut-GEN')")
     pairs = e.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b"), "relation").agg(F.count("*").alias("n"))
@@ -202,8 +198,8 @@ QUERIES = {
     "logistic_link": lambda s, d: _classified(s, d, L.logistic),
     "svm_link": lambda s, d: _classified(s, d, lambda r: L.svm(r, gammas=(0.01,), landmarks=100)),
     "pca_2d": _pca,
-    "node2vec": lambda s, d: _shape(L.node2vec(_mutations(s, d), dimension=16, length=6, walks=2, p=0.5, q=2.0)),
-    "spectral": lambda s, d: _shape(L.spectral(_mutations(s, d), dimension=4, rounds=8)),
+    "node2vec": lambda s, d: _shape(L.node2vec(whole_adjacency(s, d), p=0.5, q=2.0)),
+    "spectral": lambda s, d: _shape(L.spectral(whole_adjacency(s, d))),
     "hin_vectors": _hin,
 }
 
