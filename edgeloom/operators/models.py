@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.hashing import uniform
+from edgeloom.functions.hashing import draw, uniform
 from edgeloom.operators.graph import normalised_adjacency, random_walks
 from edgeloom.operators.metrics import average_precision
 from edgeloom.plans.durable import materialise
@@ -134,22 +134,29 @@ def spectral(adjacency: DataFrame, dimension: int = 16, rounds: int = 20, seed:
     return materialise(x.withColumnRenamed("x", "vec"), "spectral")
 
 
-def hin_vectors(pairs: DataFrame, dimension: int = 32, epochs: int = 5, rate: float = 0.05, negatives: int = 3, seed: int = 42, most: int = 200_000) -> DataFrame:
-    """(node, vec) by the gated product of two nodes and a relation, trained on (a, b, relation, n) pairs.
+def hin_vectors(pairs: DataFrame, nodes: DataFrame | None = None, dimension: int = 32, epochs: int = 5, rate: float = 0.05, negatives: int = 3, seed: int = 42, block: int = 200_000) -> DataFrame:
+    """(node, vec) by the gated product of two nodes and a relation, trained on all (a, b, relation, n) pairs.
 
-    Training is a driver loop over at most ``most`` pairs, those most frequent,
-    as the producer is a small dense model; the pairs come from distributed walks.
+    The pairs come from distributed walks and stay in a table; the driver
+    holds one hashed part of about ``block`` of them at a time, besides the
+    vectors of all nodes: those of the pairs and of ``nodes`` (node).
     """
-    rows = pairs.orderBy(F.desc("n"), "a", "b", "relation").limit(most).toPandas()
-    names = sorted({*rows["a"], *rows["b"]})
-    kinds = sorted(set(rows["relation"]))
+    pairs = materialise(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    every = ends if nodes is None else ends.unionByName(nodes.select("node"))
+    names = sorted(r.node for r in every.distinct().collect())
+    kinds = sorted(r.relation for r in pairs.select("relation").distinct().collect())
+    blocks = max(1, -(-pairs.count() // block))
+    parts = materialise(pairs.withColumn("_k", draw(seed, blocks, "a", "b", "relation")), "parts")
     rng = np.random.default_rng(seed)
-    ids = {n: i for i, n in enumerate(names)}
+    ids, places = {n: i for i, n in enumerate(names)}, {k: i for i, k in enumerate(kinds)}
     vec, gate = rng.normal(0, 0.1, (len(names), dimension)), np.zeros((len(kinds), dimension))
-    a, b = rows["a"].map(ids).to_numpy(), rows["b"].map(ids).to_numpy()
-    r = rows["relation"].map({k: i for i, k in enumerate(kinds)}).to_numpy()
-    for _ in range(epochs if len(rows) else 0):
+    for k in (int(k) for _ in range(epochs if kinds else 0) for k in rng.permutation(blocks)):
+        rows = parts.filter(F.col("_k") == k).orderBy(F.desc("n"), "a", "b", "relation").toPandas()
+        a, b, r = rows["a"].map(ids).to_numpy(), rows["b"].map(ids).to_numpy(), rows["relation"].map(places).to_numpy()
         for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
+            if not len(at):
+                continue
             x = np.repeat(a[at], 1 + negatives)
             rel = np.repeat(r[at], 1 + negatives)
             y = rng.integers(0, len(names), len(x))

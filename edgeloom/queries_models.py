@@ -159,10 +159,25 @@ def _pca(s, d):
     return L.pca2(a).select("node", F.round(F.abs("pc1"), 4).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2"))
 
 
+#: Base relation and type of X of the metapaths X-hub-X.
+METAPATHS = {"GEN-ass-DIS": "GEN", "GEN-ass-TIS": "GEN", "GEN-ass-PWY": "GEN", "CPD-int-GEN": "GEN", "CLL-mut-GEN": "GEN", "CPD-trt-DIS": "CPD"}
+
+
+def metapath_pairs(e):
+    """(a, b, relation, n): X nodes one hub apart in walks X-hub-X-hub-X-hub-X from every X of the six metapaths."""
+    out = []
+    for relation, x in METAPATHS.items():
+        own = e.filter(F.col("relation") == relation)
+        starts = E.ends(own).filter(F.col("node_type") == x).select("node")
+        walks = G.random_walks(materialise(E.closure(own, self_loops=False), "adjacency"), starts, 7)
+        xs = walks.select(F.filter("path", lambda n, i: i % 2 == 0).alias("path"))
+        out.append(G.walk_pairs(xs).withColumn("relation", F.lit(relation)))
+    return E.union_all(out)
+
+
 def _hin(s, d):
-    e = edges(s, d).filter("relation IN ('GEN-ass-PWY', 'CLL-mut-GEN')")
-    pairs = e.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b"), "relation").agg(F.count("*").alias("n"))
-    v = L.hin_vectors(pairs)
+    e = _edges(s, d)
+    v = L.hin_vectors(metapath_pairs(e), E.ends(e.filter(F.col("relation").isin(*METAPATHS))))
     return v.select("node", F.size("vec").alias("dimension"), F.round(V.norm(F.col("vec")), 4).alias("norm"))
 
 

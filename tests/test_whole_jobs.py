@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from edgeloom import queries_graph, queries_models
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
+from edgeloom.operators import models as L
 from edgeloom.queries_edges import edges
 
 
@@ -29,3 +30,17 @@ def test_biased_steps_have_their_weights(spark):
     n = Counter(p[2] for p in paths if p[1] == "b")
     total = sum(n.values())
     assert abs(n["a"] / total - 4 / 5.25) < 0.04 and abs(n["c"] / total - 1 / 5.25) < 0.04 and 0 < n["d"] / total < 0.1
+
+
+def test_hin_vectors_of_every_pair(spark):
+    pairs = spark.createDataFrame([("a", "b", "r", 9), ("c", "d", "r", 1), ("e", "f", "s", 1)], "a string, b string, relation string, n bigint")
+    hub = spark.createDataFrame([("h",)], "node string")
+    got = {r.node: r.vec for r in L.hin_vectors(pairs, hub, dimension=2, epochs=2, block=1).collect()}
+    assert set(got) == set("abcdefh")
+
+
+def test_metapath_pairs_are_one_hub_apart(spark, monkeypatch):
+    monkeypatch.setattr(queries_models, "METAPATHS", {"GEN-ass-DIS": "GEN", "CPD-int-GEN": "GEN"})
+    e = spark.createDataFrame([(x, h, "GEN", "DIS", "GEN-ass-DIS") for x, h in (("g1", "d1"), ("g2", "d1"))] + [("p1", "g3", "CPD", "GEN", "CPD-int-GEN")], "node1 string, node2 string, node1_type string, node2_type string, relation string")
+    got = {(r.a, r.b, r.relation) for r in queries_models.metapath_pairs(e).collect()}
+    assert got <= {(a, b, "GEN-ass-DIS") for a in ("g1", "g2") for b in ("g1", "g2")} | {("g3", "g3", "CPD-int-GEN")} and ("g3", "g3", "CPD-int-GEN") in got
