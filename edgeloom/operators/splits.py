@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import draw, keyed_md5
 from edgeloom.operators.edges import degree_rows
+from edgeloom.plans.durable import materialise
 from edgeloom.plans.ranking import dense_index, ranked
 
 SEED = 42
@@ -104,20 +105,39 @@ def leak_checks(splits: DataFrame, negatives_: DataFrame) -> DataFrame:
     return met.agg(*counts).unpivot([], [*pairs, "positive_negative", "negatives_twice"], "check", "n").withColumn("ok", F.col("n") == 0)
 
 
-def ranking_candidates(positives: DataFrame, pool: DataFrame, known: DataFrame, n: int = 99, seed: int = SEED) -> DataFrame:
-    """(n1, n2, candidate, is_true): each positive pair's own n2 and up to n others of the pool (node) drawn for it.
+def ranking_candidates(positives: DataFrame, pool: DataFrame, known: DataFrame, n: int = 99, seed: int = SEED, most_rounds: int | None = None) -> DataFrame:
+    """(n1, n2, candidate, is_true): each positive pair's own n2 and n others of the pool (node) drawn for it.
 
     Twice n places are drawn by hash; what is the true node, drawn before or a
-    known pair in either direction is left out, and the first n stay. A pool
-    that offers fewer gives fewer.
+    known pair in either direction is left out, and the first n stay. Pairs
+    that have fewer draw on, twice as many in all each round, until they have
+    n or all that the pool allows them; ``most_rounds`` ends that earlier.
     """
-    places = dense_index(pool, "node")
-    size = places.agg(F.count("*").alias("_n"))
-    asked = positives.select("n1", "n2").distinct()
-    draws = asked.crossJoin(size).filter("_n > 0").select("n1", "n2", "_n", F.explode(F.sequence(F.lit(0), F.lit(2 * n - 1))).alias("i"))
-    picks = draws.withColumn("idx", draw(seed, F.col("_n"), F.lit("rank"), "n1", "n2", "i")).join(places.withColumnRenamed("node", "candidate"), "idx").filter("candidate <> n2")
+    places = materialise(dense_index(pool, "node").withColumnRenamed("node", "candidate"), "pool")
+    size = places.count()
+    asked = materialise(positives.select("n1", "n2").distinct(), "asked")
+    own = asked.select("n1", "n2", F.col("n2").alias("candidate"), F.lit(True).alias("is_true"))
+    if not size:
+        return own
     taken = known.select(F.explode(F.array(F.struct(F.col("n1"), F.col("n2").alias("candidate")), F.struct(F.col("n2").alias("n1"), F.col("n1").alias("candidate")))).alias("k")).select("k.*").distinct()
-    fresh = picks.join(taken, ["n1", "candidate"], "left_anti").groupBy("n1", "n2", "candidate").agg(F.min("i").alias("i"))
-    first = F.row_number().over(Window.partitionBy("n1", "n2").orderBy("i"))
-    kept = fresh.withColumn("_r", first).filter(F.col("_r") <= n).select("n1", "n2", "candidate", F.lit(False).alias("is_true"))
-    return kept.unionByName(asked.select("n1", "n2", F.col("n2").alias("candidate"), F.lit(True).alias("is_true")))
+    barred = materialise(taken.join(places.select("candidate"), "candidate", "left_semi").select("n1", "candidate"), "barred")
+    # The pool's nodes that a pair may draw: not known with n1 and not the true node.
+    per = barred.groupBy("n1").agg(F.count("*").alias("_b"))
+    true = asked.join(places.select(F.col("candidate").alias("n2"), F.lit(1).alias("_in")), "n2", "left").join(barred.select("n1", F.col("candidate").alias("n2"), F.lit(1).alias("_known")), ["n1", "n2"], "left")
+    allowed = true.join(per, "n1", "left").select("n1", "n2", (F.lit(size) - F.coalesce("_b", F.lit(0)) - F.when(F.col("_in").isNotNull() & F.col("_known").isNull(), 1).otherwise(0)).alias("_most"))
+    open_ = materialise(allowed.withColumn("_most", F.least("_most", F.lit(n))).filter("_most > 0"), "open")
+    found, first, upto, rounds = None, 0, 2 * n, 0
+    while not open_.isEmpty() and (most_rounds is None or rounds < most_rounds):
+        draws = open_.select("n1", "n2", F.explode(F.sequence(F.lit(first), F.lit(upto - 1))).alias("i"))
+        picks = draws.withColumn("idx", draw(seed, size, F.lit("rank"), "n1", "n2", "i")).join(places, "idx").filter("candidate <> n2")
+        fresh = picks.join(barred, ["n1", "candidate"], "left_anti").select("n1", "n2", "candidate", "i")
+        every = fresh if found is None else fresh.unionByName(found)
+        found = materialise(every.groupBy("n1", "n2", "candidate").agg(F.min("i").alias("i")), "drawn")
+        have = found.groupBy("n1", "n2").agg(F.count("*").alias("_have"))
+        open_ = materialise(open_.join(have, ["n1", "n2"], "left").filter(F.coalesce("_have", F.lit(0)) < F.col("_most")).drop("_have"), "open")
+        first, upto, rounds = upto, 2 * upto, rounds + 1
+    if found is None:
+        return own
+    by_draw = F.row_number().over(Window.partitionBy("n1", "n2").orderBy("i"))
+    kept = found.withColumn("_r", by_draw).filter(F.col("_r") <= n).select("n1", "n2", "candidate", F.lit(False).alias("is_true"))
+    return kept.unionByName(own)

@@ -42,13 +42,13 @@ def _eval(s, d):
     return M.ranking_report(long, ["method"])
 
 
-def _ranked(s, d):
+def _ranked(s, d, most_rounds=None):
     """Hits@10 and mean reciprocal rank of held-out pairs among 99 typed candidates each, by common neighbours."""
     e = materialise(edges(s, d), "edges")
     pairs = task_pairs(e)
     test = materialise(S.protected(pairs, e).filter(~F.col("protected") & (draw(S.SEED, 100, "n1", "n2") < 20)).select("n1", "n2"), "test")
     adjacency = materialise(E.closure(E.exclude_pairs(e, test.withColumn("relation", F.lit(TASK)))), "adjacency")
-    asked = materialise(S.ranking_candidates(test, E.ends(e).filter("node_type = 'DIS'").select("node"), pairs), "candidates")
+    asked = materialise(S.ranking_candidates(test, E.ends(e).filter("node_type = 'DIS'").select("node"), pairs, most_rounds=most_rounds), "candidates")
     scored = G.neighbour_scores(adjacency, asked.select("n1", F.col("candidate").alias("n2")).distinct())
     ranked = asked.join(scored.select("n1", F.col("n2").alias("candidate"), F.col("common_neighbors").alias("score")), ["n1", "candidate"]).withColumn("query", F.struct("n1", "n2"))
     return M.hits_and_mrr(ranked, [], "query", 10)
@@ -108,7 +108,8 @@ def _attention(adj, nudge=0.0):
 QUERIES = {
     "heuristics_scores": lambda s, d: scored_pairs(s, d).select("n1", "n2", "label", "preferential_attachment", "common_neighbors", F.round("jaccard", 8).alias("jaccard")),
     "heuristics_eval": _eval,
-    "heuristics_ranked": _ranked,
+    "heuristics_ranked": lambda s, d: _ranked(s, d, most_rounds=1),
+    "heuristics_ranked_full": _ranked,
     "components": _components,
     "component_sizes": _component_sizes,
     "adjacency_lists": lambda s, d: G.adjacency_lists(edges(s, d)).select("node", F.size("nbrs").alias("n"), F.md5(F.array_join("nbrs", ",")).alias("nbrs_md5")),

@@ -8,6 +8,7 @@ from edgeloom import queries_graph, queries_models
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
 from edgeloom.operators import models as L
+from edgeloom.operators import splits as S
 from edgeloom.queries_edges import edges
 
 
@@ -44,3 +45,12 @@ def test_metapath_pairs_are_one_hub_apart(spark, monkeypatch):
     e = spark.createDataFrame([(x, h, "GEN", "DIS", "GEN-ass-DIS") for x, h in (("g1", "d1"), ("g2", "d1"))] + [("p1", "g3", "CPD", "GEN", "CPD-int-GEN")], "node1 string, node2 string, node1_type string, node2_type string, relation string")
     got = {(r.a, r.b, r.relation) for r in queries_models.metapath_pairs(e).collect()}
     assert got <= {(a, b, "GEN-ass-DIS") for a in ("g1", "g2") for b in ("g1", "g2")} | {("g3", "g3", "CPD-int-GEN")} and ("g3", "g3", "CPD-int-GEN") in got
+
+
+def test_candidates_are_drawn_until_enough(spark):
+    pool = spark.createDataFrame([(f"d{i:03}",) for i in range(300)], "node string")
+    known = spark.createDataFrame([("hub", f"d{i:03}") for i in range(200)] + [("most", f"d{i:03}") for i in range(295)], "n1 string, n2 string")
+    asked = spark.createDataFrame([("hub", "d000"), ("most", "d001"), ("few", "d002")], "n1 string, n2 string")
+    rows = S.ranking_candidates(asked, pool, known).filter("NOT is_true").collect()
+    assert Counter(r.n1 for r in rows) == {"hub": 99, "most": 5, "few": 99}
+    assert len({(r.n1, r.candidate) for r in rows}) == len(rows) and all(int(r.candidate[1:]) >= {"hub": 200, "most": 295, "few": 0}[r.n1] for r in rows)
