@@ -76,16 +76,20 @@ def sanity(catalog: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(node, va, vb): the nodes in both spaces."""
+    return a.select("node", F.col("vec").alias("va")).join(b.select("node", F.col("vec").alias("vb")), "node")
+
+
 def common_sample(a: DataFrame, b: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(node, va, vb): n of the nodes in both spaces, the first in hash order."""
-    both = a.select("node", F.col("vec").alias("va")).join(b.select("node", F.col("vec").alias("vb")), "node")
-    return ranked(both.withColumn("_h", keyed_md5(seed, "node")), [], ["_h", "node"], "_r").filter(F.col("_r") <= n).select("node", "va", "vb")
+    return ranked(common(a, b).withColumn("_h", keyed_md5(seed, "node")), [], ["_h", "node"], "_r").filter(F.col("_r") <= n).select("node", "va", "vb")
 
 
-def sample_similarities(sample: DataFrame) -> DataFrame:
-    """(x, y, sa, sb): cosines of the sample's ordered pairs x <> y in both spaces; the sample's size is stated, so is theirs."""
-    u = sample.select("node", unit(F.col("va")).alias("va"), unit(F.col("vb")).alias("vb"))
-    x, y = u.toDF("x", "xa", "xb"), u.toDF("y", "ya", "yb")
+def sample_similarities(sample: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(x, y, sa, sb): cosines in both spaces of each x of the sample and y <> x of ``among``, else of the sample."""
+    units = lambda d: d.select("node", unit(F.col("va")).alias("va"), unit(F.col("vb")).alias("vb"))
+    x, y = units(sample).toDF("x", "xa", "xb"), units(sample if among is None else among).toDF("y", "ya", "yb")
     return x.join(y, F.col("x") != F.col("y")).select("x", "y", F.round(dot(F.col("xa"), F.col("ya")), 8).alias("sa"), F.round(dot(F.col("xb"), F.col("yb")), 8).alias("sb"))
 
 

@@ -129,6 +129,10 @@ def _hits(s, d):
     return M.hits_and_mrr(own.unionByName(cand), ["relation"], "query", 10)
 
 
+#: Nodes at most that the comparisons of spaces take as queries, as the reference does.
+SAMPLE = 1500
+
+
 def _spaces(s, d):
     v = materialise(V.latest_vectors(table(s, d, "embedding_catalog").filter("node_type = 'GEN' AND seed = 42"), alnum_key("node_id")), "vectors")
     return v.filter("source = 'gae'"), v.filter("source = 'node2vec'")
@@ -136,7 +140,13 @@ def _spaces(s, d):
 
 def _sample(s, d):
     a, b = _spaces(s, d)
-    return materialise(V.common_sample(a, b, 200), "sample")
+    return materialise(V.common_sample(a, b, SAMPLE), "sample")
+
+
+def _neighbour_sims(s, d):
+    """Similarities of the sample's nodes, as queries, to all common nodes."""
+    a, b = _spaces(s, d)
+    return V.sample_similarities(materialise(V.common_sample(a, b, SAMPLE), "sample"), materialise(V.common(a, b), "common"))
 
 
 def _cka(s, d):
@@ -206,8 +216,8 @@ QUERIES = {
     "precision_at_k": lambda s, d: M.precision_at(scores(s, d), ["relation", "split"], "pair_id"),
     "hits_mrr": _hits,
     "embedding_sanity": lambda s, d: V.sanity(table(s, d, "embedding_catalog"), ["embedding_source", "training_condition", "seed"]),
-    "cosine_knn": lambda s, d: (lambda x: x.withColumn("r", F.row_number().over(_by_a())).filter("r <= 10").select("x", "y", "r", F.round("sa", 6).alias("sa")))(V.sample_similarities(_sample(s, d))),
-    "knn_jaccard": lambda s, d: V.neighbour_jaccard(V.sample_similarities(_sample(s, d)), [10, 25, 50]),
+    "cosine_knn": lambda s, d: (lambda x: x.withColumn("r", F.row_number().over(_by_a())).filter("r <= 10").select("x", "y", "r", F.round("sa", 6).alias("sa")))(_neighbour_sims(s, d)),
+    "knn_jaccard": lambda s, d: V.neighbour_jaccard(_neighbour_sims(s, d), [10, 25, 50]),
     "spearman_similarity": lambda s, d: V.spearman(materialise(V.sample_similarities(_sample(s, d)).filter("x < y"), "sims"), "sa", "sb"),
     "space_comparison": _cka,
     "logistic_link": lambda s, d: _classified(s, d, L.logistic),

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: no node, pair, draw or group is left out."""
 
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -54,3 +55,14 @@ def test_candidates_are_drawn_until_enough(spark):
     rows = S.ranking_candidates(asked, pool, known).filter("NOT is_true").collect()
     assert Counter(r.n1 for r in rows) == {"hub": 99, "most": 5, "few": 99}
     assert len({(r.n1, r.candidate) for r in rows}) == len(rows) and all(int(r.candidate[1:]) >= {"hub": 200, "most": 295, "few": 0}[r.n1] for r in rows)
+
+
+def test_neighbours_come_from_all_common_nodes(spark, monkeypatch):
+    rows = [(f"n{i:03}", [math.cos(i / 100), math.sin(i / 100)]) for i in range(230)]
+    v = spark.createDataFrame(rows, "node string, vec array<double>")
+    monkeypatch.setattr(queries_models, "_spaces", lambda s, d: (v, v))
+    nearest = {r.x: r.y for r in queries_models.QUERIES["cosine_knn"](spark, "").filter("r = 1").collect()}
+    assert len(nearest) == 230 and all(abs(int(x[1:]) - int(y[1:])) == 1 for x, y in nearest.items())
+    monkeypatch.setattr(queries_models, "SAMPLE", 3)
+    few = queries_models.QUERIES["cosine_knn"](spark, "").filter("r = 1").collect()
+    assert len(few) == 3 and all(nearest[r.x] == r.y for r in few)
