@@ -157,11 +157,20 @@ def _cka(s, d):
 
 
 def _classified(s, d, model):
-    f = pair_vectors(s, d).filter("relation = 'GEN-ppi-GEN' AND label IS NOT NULL").select("pair_id", "split", "label", V.features(F.col("a"), F.col("b"), raw=True).alias("features"))
-    rows = materialise(f, "features")
-    scored, choice, ap = model(L.standardised(L.balanced_weights(rows)))
-    r = M.ranking_report(scored.filter("split = 'test'"), [])
-    return r.select(F.lit(str(choice)).alias("choice"), F.lit(float(ap)).alias("val_auprc"), "auroc", "auprc", "n_test", "n_pos_test")
+    """By relation and source: the model chosen on val over all labelled pairs, and its areas on test; nulls where train lacks a class."""
+    f = pair_vectors(s, d).filter("label IS NOT NULL").select("relation", "source", "pair_id", "split", "label", V.features(F.col("a"), F.col("b"), raw=True).alias("features"))
+    every = materialise(f, "features")
+    kinds = F.countDistinct(F.when(F.col("split") == "train", F.col("label")))
+    out = []
+    for g in every.groupBy("relation", "source").agg(kinds.alias("kinds")).orderBy("relation", "source").collect():
+        choice, ap, areas = None, None, every.sparkSession.createDataFrame([], "auroc double, auprc double, n_test bigint, n_pos_test bigint")
+        if g.kinds == 2:
+            rows = every.filter(F.col("relation").eqNullSafe(g.relation) & F.col("source").eqNullSafe(g.source)).drop("relation", "source")
+            scored, choice, ap = model(L.standardised(L.balanced_weights(rows)))
+            areas = M.ranking_report(scored.filter("split = 'test'"), []).select("auroc", "auprc", "n_test", "n_pos_test")
+        r = areas.first()
+        out.append((g.relation, g.source, None if choice is None else str(choice), None if ap is None else float(ap), *(r or (None,) * 4)))
+    return s.createDataFrame(out, "relation string, source string, choice string, val_auprc double, auroc double, auprc double, n_test bigint, n_pos_test bigint")
 
 
 def _pca(s, d):
@@ -221,7 +230,7 @@ QUERIES = {
     "spearman_similarity": lambda s, d: V.spearman(materialise(V.sample_similarities(_sample(s, d)).filter("x < y"), "sims"), "sa", "sb"),
     "space_comparison": _cka,
     "logistic_link": lambda s, d: _classified(s, d, L.logistic),
-    "svm_link": lambda s, d: _classified(s, d, lambda r: L.svm(r, gammas=(0.01,), landmarks=100)),
+    "svm_link": lambda s, d: _classified(s, d, L.svm),
     "pca_2d": _pca,
     "node2vec": lambda s, d: _shape(L.node2vec(whole_adjacency(s, d), p=0.5, q=2.0)),
     "spectral": lambda s, d: _shape(L.spectral(whole_adjacency(s, d))),

@@ -66,3 +66,21 @@ def test_neighbours_come_from_all_common_nodes(spark, monkeypatch):
     monkeypatch.setattr(queries_models, "SAMPLE", 3)
     few = queries_models.QUERIES["cosine_knn"](spark, "").filter("r = 1").collect()
     assert len(few) == 3 and all(nearest[r.x] == r.y for r in few)
+
+
+def test_a_classifier_by_relation_and_source(spark, monkeypatch):
+    splits = ["train", "train", "val", "val", "test", "test"]
+    rows = [(r, src, i, splits[i], i % 2, [float(i % 2)], [1.0]) for r in ("r1", "r2") for src in ("gae", "node2vec") for i in range(6)]
+    rows.append(("r3", "gae", 9, "train", 1, [1.0], [1.0]))
+    pairs = spark.createDataFrame(rows, "relation string, source string, pair_id int, split string, label int, a array<double>, b array<double>")
+    monkeypatch.setattr(queries_models, "pair_vectors", lambda s, d: pairs)
+    seen = []
+
+    def model(rows):
+        seen.append(rows.count())
+        return rows.withColumn("score", F.col("label").cast("double")), "c", 0.5
+
+    monkeypatch.setattr(queries_models.L, "svm", model)
+    got = {(r.relation, r.source): (r.choice, r.auroc, r.n_test) for r in queries_models.QUERIES["svm_link"](spark, "").collect()}
+    assert got == {(r, s): ("c", 1.0, 2) for r in ("r1", "r2") for s in ("gae", "node2vec")} | {("r3", "gae"): (None, None, None)}
+    assert seen == [6] * 4
