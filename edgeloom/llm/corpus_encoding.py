@@ -6,8 +6,8 @@ documents share is encoded once for all of them: its ids are looked up from
 then on. A join between chunks is in exact agreement if a token must begin at
 its space: that is so between two visible ASCII characters, as no token of the
 pre-tokenizer's pattern holds an inner space and its look-ahead concerns runs
-of white space only. Any other join is repaired: the two chunks are encoded
-again as one, until only joins of exact agreement are left.
+of white space only. No other space is cut, so nothing is encoded again; texts
+with few such spaces stay whole and get no reuse.
 """
 
 from __future__ import annotations
