@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more rows than this is hot; with N rows there are at most N / HOT_ROWS hot keys.
+#: A key with fewer rows than this is never hot.
 HOT_ROWS = 200_000
-#: Hot keys are broadcast up to this many; beyond it they take the shuffle join with the rest.
+#: Hot keys at most: with N rows in all, a key is hot from N / MOST_HOT rows on, so no more can be.
 MOST_HOT = 100_000
 #: A table is broadcast only if its counted rows times its row width stay under this.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a broadcast row beside its keys.
+ROW_BYTES = 64
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -24,22 +26,40 @@ def fits(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return rows * row_bytes <= limit
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join many ``rows`` with one row a key of ``groups``, whose column ``size`` counts the rows of the key.
+def hot_from(groups: DataFrame, keys: list[str], size: str, least: int = HOT_ROWS) -> tuple[int, int]:
+    """(rows from which a key is hot, number of hot keys).
 
-    Keys of ``hot_rows`` rows or more are joined by broadcast: as the sizes
-    add up to the number of rows, there are at most rows / hot_rows of them,
-    and they leave the shuffle, so no task gets a hot key's rows. The others
-    take a shuffle join in which no key exceeds ``hot_rows``. With no hot key
-    the broadcast side is empty. Where even the hot keys are more than
-    MOST_HOT, all take the shuffle join, and no key is large against a task.
+    The limit is ``least`` or the MOST_HOT-th part of all rows, and is doubled
+    while the hot keys' bytes exceed BROADCAST_BYTES. A key under it has so
+    few of all rows that a shuffle task holds it.
     """
-    if how != "inner":
-        raise ValueError("join_hot joins inner")
-    hot = groups.filter(F.col(size) >= hot_rows)
-    heavy = hot.limit(MOST_HOT + 1).select(*keys).collect() if hot_rows else []
-    if not heavy or len(heavy) > MOST_HOT:
-        return rows.join(groups, keys, how)
-    hot_side = F.broadcast(hot)
-    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) < hot_rows), keys, how)
-    return light.unionByName(rows.join(hot_side, keys, how))
+    most = groups.agg(F.sum(size).alias("rows")).first().rows or 0
+    limit = max(least, -(-most // MOST_HOT), 1)
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys]) + ROW_BYTES
+    while True:
+        n, held = groups.filter(F.col(size) >= limit).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+        if not n or held <= BROADCAST_BYTES:
+            return limit, n
+        limit *= 2
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of many ``rows`` with one row a key of ``groups``, whose column ``size`` counts the rows of the key.
+
+    Keys from ``hot_from`` on are salted: the rows of a key are dealt by the
+    hash of their other columns to as many parts as the key has limits, and
+    its group goes to each part. Only the hot keys and their numbers of parts
+    are broadcast, whose number and bytes are bounded. All rows take one scan
+    and one shuffle, whatever the number of hot keys; with none it is a plain
+    join. Rows that are equal in all columns stay in one part. A null key
+    joins nothing.
+    """
+    limit, hot = hot_from(groups, keys, size, hot_rows)
+    if not hot:
+        return rows.join(groups, keys)
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    salts = groups.filter(F.col(size) >= limit).select(*keys, parts.alias("_parts"))
+    rest = [c for c in rows.columns if c not in keys] or keys
+    salted = rows.join(F.broadcast(salts), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.join(spread, [*keys, "_salt"]).drop("_salt")

@@ -41,8 +41,21 @@ def test_join_of_hot_keys(spark):
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     hot = skew.join_hot(rows, groups, ["k"], "n", hot_rows=100)
     assert sorted(map(tuple, hot.select("id", "first").collect())) == sorted(map(tuple, rows.join(groups, "k").select("id", "first").collect()))
-    with pytest.raises(ValueError):
-        skew.join_hot(rows, groups, ["k"], "n", how="left")
+    assert skew.hot_from(groups, ["k"], "n", 100) == (100, 1) and skew.hot_from(groups.limit(0), ["k"], "n", 100) == (100, 0)
+    assert skew.join_hot(rows.limit(0), groups.limit(0), ["k"], "n").count() == 0
+
+
+@pytest.mark.parametrize(("most", "size"), [(2, 64 << 20), (100_000, 3 * (skew.ROW_BYTES + 2))])
+def test_more_hot_keys_than_may_be_broadcast(spark, monkeypatch, most, size):
+    # The limit rises until the hot keys are few enough, and the hottest stays split.
+    monkeypatch.setattr(skew, "MOST_HOT", most)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", size)
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 30).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    limit, hot = skew.hot_from(groups, ["k"], "n", 1)
+    assert hot == 1 and limit > 50
+    got = skew.join_hot(rows, groups, ["k"], "n", hot_rows=1)
+    assert got.count() == 3000 and "BroadcastHashJoin" in got._jdf.queryExecution().toString()
 
 
 def test_cut_is_a_table_in_the_shared_folder(spark):
