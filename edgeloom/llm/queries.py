@@ -51,6 +51,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives.best_genes(table(spark, sf_dir, "gen_id_mapping_table"))
 
 
+def p5_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_node_id, by_order, by_time, agree): the latest states of each gene by the learned order alone, beside the newest row's."""
+    return representatives.latest_by_order(table(spark, sf_dir, "gen_id_mapping_table"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_lo, vec_hi): pairs of cosine 0.80 or more of which one is among the other's ten nearest of its collection."""
     return similar_vectors.similar_pairs(table(spark, sf_dir, "embedding_catalog"))
@@ -125,6 +130,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_edges": p4_edges,
     "p5_found": p5_found,
+    "p5_latest": p5_latest,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,

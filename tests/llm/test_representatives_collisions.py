@@ -42,8 +42,32 @@ def test_missing_times_follow_learned_order(spark):
     got = best(spark, learned + asked)
     assert got["ENSG00000000005"] == ("", "mapeado_revisado", "dated")
     assert got["ENSG00000000006"] == ("", "mapeado_revisado", "undated")
-    ranks = R.state_ranks(R.state_precedence(spark.createDataFrame([(r[0], r[2], r[5]) for r in learned], "g string, s string, t timestamp_ntz"), "g", "s", "t"))
-    assert {r.state: r.layer for r in ranks.collect()} == {"mapeado_revisado": 1}
+    order = R.learned_order(spark.createDataFrame([(r[0], r[2], r[5]) for r in learned], "g string, s string, t timestamp_ntz"), "g", "s", "t")
+    assert order == {"sin_mapeo": set(), "mapeado_revisado": {"sin_mapeo"}}
+    # An undated row of the state of the newest dated one comes after it.
+    same = [("ENSG7", 9, "sin_mapeo", "", "dated", day(3)), ("ENSG7", 8, "sin_mapeo", "", "undated", None)]
+    assert best(spark, same)["ENSG00000000007"] == ("", "sin_mapeo", "undated")
+
+
+def test_order_of_chains_and_cycles():
+    chain = R.partial_order([("a", "b", 3), ("b", "a", 1), ("b", "c", 2), ("x", "b", 1)])
+    assert chain == {"a": set(), "x": set(), "b": {"a", "x"}, "c": {"a", "b", "x"}}
+    assert R.layers(chain) == {"a": 0, "x": 0, "b": 1, "c": 2}
+    cycle = R.partial_order([("s", "a", 1), ("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1), ("d", "e", 2), ("e", "d", 2)])
+    assert R.layers(cycle) == {"s": 0, "a": 1, "b": 1, "c": 1, "d": 2, "e": 0}
+    assert R.partial_order([]) == {} and R.layers({}) == {}
+
+
+def test_incomparable_states_say_nothing_of_a_place(spark):
+    # sin_mapeo precedes mapeado_revisado by way of excluido only; mapeado_no_revisado is compared with nothing.
+    step = lambda g, m, a, b: [(f"ENSG{g}", m, a, "", "", day(1)), (f"ENSG{g}", m + 1, b, "", "", day(2))]
+    learned = step(20, 200, "sin_mapeo", "excluido") + step(21, 210, "excluido", "mapeado_revisado")
+    asked = [("ENSG8", 1, "mapeado_revisado", "", "r", None), ("ENSG8", 2, "sin_mapeo", "", "s", day(5)), ("ENSG9", 3, "mapeado_revisado", "", "r", None), ("ENSG9", 4, "mapeado_no_revisado", "", "n", day(5))]
+    got = best(spark, learned + asked)
+    assert got["ENSG00000000008"] == ("", "mapeado_revisado", "r") and got["ENSG00000000009"] == ("", "mapeado_no_revisado", "n")
+    df = spark.createDataFrame([(*r, "clash") for r in learned + asked], ROW)
+    by = {r.graph_node_id[-2:]: (r.by_order, r.by_time, r.agree) for r in R.latest_by_order(df).collect()}
+    assert by == {"20": ("excluido", "excluido", True), "21": ("mapeado_revisado", "mapeado_revisado", True), "08": ("mapeado_revisado", "sin_mapeo", False), "09": ("mapeado_no_revisado,mapeado_revisado", "mapeado_no_revisado", True)}
 
 
 def test_hash_is_near_for_near_features():
