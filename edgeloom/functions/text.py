@@ -48,12 +48,11 @@ def ensg_number(c: Column | str) -> Column:
     without width don't matter: ``ensembl:ensg-00000 744505.3`` gives 744505.
     """
     c = F.col(c) if isinstance(c, str) else c
-    packed = F.regexp_replace(F.lower(c), r"[^a-z0-9.]", "")
-    digits = F.regexp_extract(packed, r"ensg\.?([0-9]+)", 1)
-    return F.when(digits != "", F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0")))
+    packed = F.regexp_replace(F.lower(c), r"[^a-z0-9.]+", "")
+    return F.nullif(F.regexp_extract(packed, r"ensg\.?0*([0-9]+)", 1), F.lit(""))
 
 
 def ensg(c: Column | str) -> Column:
     """An ENSG identifier as ``ENSG`` and the number in 11 digits."""
     n = ensg_number(c)
-    return F.concat(F.lit("ENSG"), F.when(F.length(n) >= 11, n).otherwise(F.lpad(n, 11, "0")))
+    return F.concat(F.lit("ENSG"), F.lpad(n, F.greatest(F.length(n), F.lit(11)), F.lit("0")))
