@@ -22,18 +22,18 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy(F.col("scope").alias("relation"), "split").agg(F.count("*").alias("n_edges"), F.countDistinct("component").alias("n_sources"))
 
 
+def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.gene_counts(table(spark, sf_dir, "go_split"), table(spark, sf_dir, "biogrid_split"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(benchmark, scope_key, ensg): genes held out that also stand on the training side of their scope."""
-    return cross_split.gene_collisions(table(spark, sf_dir, "go_split"), table(spark, sf_dir, "biogrid_split")).drop("number")
+    return cross_split.gene_collisions(_genes(spark, sf_dir)).drop("number")
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(benchmark, split, n_collisions, n_rows): collisions with a row in the split, and their rows there."""
-    go, biogrid = table(spark, sf_dir, "go_split"), table(spark, sf_dir, "biogrid_split")
-    found = cross_split.gene_collisions(go, biogrid)
-    rows = cross_split.benchmark_rows(go, biogrid).groupBy("benchmark", "scope_key", "number", "split").agg(F.count("*").alias("n"))
-    hit = rows.join(found, ["benchmark", "scope_key", "number"], "left_semi")
-    return hit.groupBy("benchmark", "split").agg(F.count("*").alias("n_collisions"), F.sum("n").alias("n_rows"))
+    return cross_split.collision_counts(_genes(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

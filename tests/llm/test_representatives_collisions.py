@@ -1,7 +1,8 @@
+import random
 from datetime import datetime
 
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.llm import cross_split as X
 from edgeloom.llm import representatives as R
@@ -70,19 +71,51 @@ def test_incomparable_states_say_nothing_of_a_place(spark):
     assert by == {"20": ("excluido", "excluido", True), "21": ("mapeado_revisado", "mapeado_revisado", True), "08": ("mapeado_revisado", "sin_mapeo", False), "09": ("mapeado_no_revisado,mapeado_revisado", "mapeado_no_revisado", True)}
 
 
-def test_hash_is_near_for_near_features():
+def test_hash_is_near_for_near_features(spark):
     a = [f"w{i}" for i in range(40)]
-    h = X.simhash64(pd.Series([a, list(reversed(a)), a[:-1] + ["other"], [f"v{i}" for i in range(40)], [], None])).tolist()
+    lists = [a, list(reversed(a)), a[:-1] + ["other"], [f"v{i}" for i in range(40)], [], None]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, f array<string>").repartition(1)
+    h = [r._c for r in X.coded(df, F.col("f")).orderBy("i").collect()]
     differ = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
     assert h[0] == h[1] and differ(h[0], h[2]) < 16 < differ(h[0], h[3]) and h[4] == h[5] == 0
 
 
+@pytest.mark.parametrize(("radius", "keep"), [(0, 1), (2, 2), (3, 1), (6, 2)])
+def test_the_join_finds_all_codes_within_the_radius_once(spark, radius, keep):
+    rng = random.Random(radius)
+    codes = [rng.getrandbits(64) for _ in range(30)]
+    flipped = [c ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 9))) for c in codes for _ in range(4)]
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    a = spark.createDataFrame([("s" if i % 3 else "z", str(i), signed(c)) for i, c in enumerate(codes)], "g string, _t string, _c bigint")
+    b = spark.createDataFrame([("s", str(i), signed(c)) for i, c in enumerate(flipped)], "g string, _t string, _c bigint")
+    got = [(int(r.left), int(r.right)) for r in X.near_codes(a, b, ["g"], radius, keep).collect()]
+    want = [(i, j) for i, c in enumerate(codes) if i % 3 for j, f in enumerate(flipped) if bin(c ^ f).count("1") <= radius]
+    assert sorted(got) == sorted(want)
+
+
+def test_recall_of_planted_near_copies(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for i in range(300):
+        text = [word() for _ in range(220)]
+        at = rng.randrange(5, 215)
+        near = text[:at] + [word()] + text[at + 1 :]  # five shingles in 216 differ
+        rows += [("s", " ".join(text), True, i), ("s", ", ".join(near).upper(), False, i), ("s", " ".join(text[:100] + [word() for _ in range(120)]), False, -1), ("t", " ".join(near), False, -2)]
+    rows += [("s", None, True, 0), ("s", "", True, 0), ("s", "only three words", True, -3), ("s", "Only  three words!", False, -3)]
+    df = spark.createDataFrame(rows, "scope string, text string, held boolean, i int")
+    names = {r[1]: r[3] for r in rows}
+    got = [(names[r.eval_text], names[r.train_text]) for r in X.similar_texts(df, ["scope"], "text", "held").collect()]
+    assert all(a == b for a, b in got) and (-3, -3) in got and len(got) == len(set(got))
+    assert len(got) - 1 >= 0.9 * 300
+
+
 GO = "go_term string, ensg string, label int, split string, benchmark int"
 BIO = "task string, outer_fold int, fold_partition string, inner_fold int, ensg_a string, ensg_b string, label int"
 
 
 def found(spark, go, bio):
-    df = X.gene_collisions(spark.createDataFrame([(*r, 1) for r in go], GO), spark.createDataFrame(bio, BIO))
+    df = X.gene_collisions(X.gene_counts(spark.createDataFrame([(*r, 1) for r in go], GO), spark.createDataFrame(bio, BIO)))
     return sorted((r.benchmark, r.scope_key, r.ensg) for r in df.collect())
 
 
