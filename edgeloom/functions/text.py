@@ -48,8 +48,10 @@ def ensg_number(c: Column | str) -> Column:
     without width don't matter: ``ensembl:ensg-00000 744505.3`` gives 744505.
     """
     c = F.col(c) if isinstance(c, str) else c
+    # The usual spelling needs no pattern.
+    usual = F.when((F.length(c) == 15) & c.startswith("ENSG"), F.substring(c, 5, 11).try_cast("bigint"))
     packed = F.regexp_replace(F.lower(c), r"[^a-z0-9.]+", "")
-    return F.nullif(F.regexp_extract(packed, r"ensg\.?0*([0-9]+)", 1), F.lit(""))
+    return F.when(usual >= 0, usual.cast("string")).otherwise(F.nullif(F.regexp_extract(packed, r"ensg\.?0*([0-9]+)", 1), F.lit("")))
 
 
 def ensg(c: Column | str) -> Column:
