@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from edgeloom.functions.text import ensg, ensg_number, folded
 from edgeloom.plans.durable import materialise
 
-#: Bits in which the codes of a gene's records may differ, and blocks that the join's keys have: 6 keys of 32 bits.
+#: Bits in which codes may differ, and blocks that the join's keys have: 6 keys of 32 bits.
 RADIUS = 2
 KEEP = 2
+#: Blocks of the keys of genes, of which a scope has some ten thousand: 3 keys of 21 bits.
+GENE_KEEP = 1
 #: The radius for running texts, whose features are word shingles: 36 keys of 14 bits. A text of which one shingle in forty differs is found nine times in ten, one at the similarity of 0.8 rarely.
 TEXT_RADIUS = 7
 
@@ -155,7 +157,7 @@ def gene_counts(go: DataFrame, biogrid: DataFrame) -> DataFrame:
 
 def gene_collisions(counted: DataFrame) -> DataFrame:
     """(benchmark, scope_key, ensg, number): genes of ``gene_counts`` held out that also stand on the training side of their scope."""
-    pairs = cross_split_pairs(counted, ["benchmark", "scope_key"], "number", "held_out", gene_features, lambda a, b: a == b)
+    pairs = cross_split_pairs(counted, ["benchmark", "scope_key"], "number", "held_out", gene_features, lambda a, b: a == b, keep=GENE_KEEP)
     return pairs.select("benchmark", "scope_key", ensg(F.concat(F.lit("ensg"), F.col("eval_text"))).alias("ensg"), F.col("eval_text").alias("number"))
 
 
