@@ -63,7 +63,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, near_id, cosine): the ten most similar vectors of every vector, whatever the cosine."""
-    return similar_vectors.neighbours(similar_vectors.comparable(table(spark, sf_dir, "embedding_catalog"))).drop("grp")
+    return similar_vectors.neighbours(similar_vectors.comparable(table(spark, sf_dir, "embedding_catalog")))
 
 
 def _identity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

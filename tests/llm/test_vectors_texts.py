@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.llm import corpus_encoding as E
 from edgeloom.llm import languages as G
@@ -61,21 +62,55 @@ def test_many_copies_of_one_vector(spark):
     assert sorted(by[29]) == list(range(10)) and sorted(by[0]) == list(range(1, 11))
 
 
+@pytest.mark.parametrize(("n", "sizes"), [(600, {}), (3000, {"CELL": 200}), (3000, {"CELL": 200, "PART": 150, "TURN": 200, "BLOCK": 500}), (9000, {"CELL": 900, "PART": 1000})])
+def test_recall_with_cells_parts_turns_and_blocks(spark, monkeypatch, n, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(V, name, value)
+    rows = [(i, "GEN", v) for i, v in enumerate(clustered(n, 8, centres=30))] + [(n + i, "DIS", v) for i, v in enumerate(clustered(40, 9))]
+    df = V.comparable(vectors(spark, rows))
+    if sizes:
+        reps = df.select("grp", F.col("vec_id").alias("rep"), "embedding")
+        counted = reps.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1000").withColumn("cells", F.lit(V.cells_of(n)))
+        grid = V._celled(reps.join(counted.select("grp"), "grp"), counted)
+        # Each vector meets as a query all items of its own cell, once.
+        own = grid.filter("item").select("grp", "cell", "part", "turn", "rep")
+        met = grid.filter("query").select("grp", "cell", "part", "turn", F.col("rep").alias("asked")).join(own, ["grp", "cell", "part", "turn"]).groupBy("asked", "rep").count()
+        cells = own.select("cell", "rep").distinct()
+        assert cells.count() == n and met.filter("count > 1").isEmpty() and met.filter("asked = rep").count() == n
+        home = cells.alias("a").join(cells.alias("b"), "cell")
+        assert home.join(met.select(F.col("asked"), F.col("rep").alias("seen")), (F.col("a.rep") == F.col("asked")) & (F.col("b.rep") == F.col("seen")), "left_anti").isEmpty()
+        assert grid.select("cell", "part", "turn").distinct().count() > cells.select("cell").distinct().count() or "TURN" not in sizes
+    got = {tuple(r) for r in V.similar_pairs(vectors(spark, rows)).collect()}
+    want = brute(rows, 0.8)
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
+def test_repeated_ids_and_copies_near_others(spark):
+    v = clustered(60, 5, centres=1, spread=0.1)
+    rows = [(i, "GEN", x) for i, x in enumerate(v)] + [(3, "GEN", v[3]), (70, "GEN", v[5]), (71, "GEN", v[5]), (72, "GEN", [2 * a for a in v[6]])]
+    near = V.neighbours(V.comparable(vectors(spark, rows))).collect()
+    by = {}
+    for r in near:
+        by.setdefault(r.vec_id, []).append((-round(r.cosine, 6), r.near_id))
+    assert set(by) == {*range(60), 70, 71, 72} and all(len(n) == len(set(n)) == 10 and all(i != j for _, j in n) for i, n in by.items())
+    assert {j for _, j in sorted(by[70])[:2]} == {5, 71} and sorted(by[6])[0][1] == 72
+
+
 def test_anisotropic_codes_keep_the_score_along_the_vector():
     x = np.array(clustered(800, 3), dtype=np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centres, books = V.fit(x, len(x))
-    home = (x @ centres.T).argmax(1)
-    r = x - centres[home]
-    plain = np.stack([((r.reshape(-1, V.SUBSPACES, V.SUB)[:, m, None] - books[m][None]) ** 2).sum(2).argmin(1) for m in range(V.SUBSPACES)], 1)
-    error = lambda codes: np.abs(((r - books[np.arange(V.SUBSPACES), codes].reshape(len(x), -1)) * x).sum(1)).mean()
-    codes = V.encode(x, r, books)
+    index = V.Index(x)
+    home = (x @ index.centres.T).argmax(1)
+    r = x - index.centres[home]
+    plain = np.stack([((r.reshape(-1, V.SUBSPACES, V.SUB)[:, m, None] - index.books[m][None]) ** 2).sum(2).argmin(1) for m in range(V.SUBSPACES)], 1)
+    decoded = lambda codes: index.books[np.arange(V.SUBSPACES), codes].reshape(len(x), -1)
+    error = lambda codes: np.abs(((r - decoded(codes)) * x).sum(1)).mean()
+    codes = V.encode(x, r, index.books)
     assert error(codes) < 0.7 * error(plain)
-    packed = codes[:, 0::2] * V.CODES + codes[:, 1::2]
-    own = home == home[0]
-    approx = V.scan(x[:5], books, centres[home[0]], packed[own])
-    want = x[:5] @ (centres[home[0]] + books[np.arange(V.SUBSPACES), codes[own]].reshape(own.sum(), -1)).T
-    assert np.allclose(approx, want, atol=1e-4)
+    places, approx = index.scan(x[:5], np.array([2, 5]))
+    own = index.order[places]
+    assert set(home[own]) == {2, 5} and len(own) == (np.isin(home, [2, 5])).sum()
+    assert np.allclose(approx, (index.centres[home] + decoded(codes))[own] @ x[:5].T, atol=1e-4)
 
 
 ODD = ["", "a", " ", "  a  b ", "x\n\n y\r\n\tz", "don't I'll we've", "<|endoftext|> is text", "é naïve   café　x", "a​b c", "1234567890 " * 30, "\U0001f600 \U0001f468‍\U0001f469", "word" * 5000, "a b " * 9000, " leading", "trailing ", "tab\there", "İstanbul 中文 русский text", "ends with space ", "!? ... -- \"q\""]
