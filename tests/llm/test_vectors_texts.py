@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -116,36 +117,61 @@ def test_anisotropic_codes_keep_the_score_along_the_vector():
 ODD = ["", "a", " ", "  a  b ", "x\n\n y\r\n\tz", "don't I'll we've", "<|endoftext|> is text", "é naïve   café　x", "a​b c", "1234567890 " * 30, "\U0001f600 \U0001f468‍\U0001f469", "word" * 5000, "a b " * 9000, " leading", "trailing ", "tab\there", "İstanbul 中文 русский text", "ends with space ", "!? ... -- \"q\""]
 
 
+RANKS = Path(E.ranks_path()).read_bytes()
+
+
+def encoded(encoder, texts):
+    flat, at = encoder.encode(texts)
+    return [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
 def test_encoding_is_exact():
-    direct, encoder = E.load(E.ranks_path()), E.Encoder(E.ranks_path())
+    direct, encoder = E.load(RANKS), E.Encoder(RANKS)
     rng = random.Random(7)
-    pool = ["the", "gene", "it's", "été", "4.5", " ", "\n", " ", "-", "don't", "中", "ENSG00000650001;", "\t", "''", "​"]
+    pool = ["the", "gene", "it's", "été", "4.5", " ", "\n", "\u3000", "-", "don't", "中", "ENSG00000650001;", "\t", "''", "\u200b"]
     texts = ODD + [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["".join(rng.choice(pool) for _ in range(30)) for _ in range(200)]
     for _ in range(2):  # the second time from memory
-        flat, at = encoder.encode([t.encode() for t in texts])
-        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [direct.encode_ordinary(t) for t in texts]
+        assert encoded(encoder, texts) == [direct.encode_ordinary(t) for t in texts]
+
+
+@pytest.mark.parametrize("rate", [0.9, 0.3, 0.05])
+def test_joins_agree_wherever_texts_are_cut(monkeypatch, rate):
+    monkeypatch.setattr(E, "CUT_RATE", rate)
+    direct, encoder, rng = E.load(RANKS), E.Encoder(RANKS), random.Random(3)
+    signs = [*"ab'sStdlmrev  \n\t.,-!?12é中文字ñ\u0301\u0967\u2160\u00a0\u3000\u200b_", "'ll", "'re", "ENSG", "\U0001f600", "\U00020bb7", "don't", "\x1c", "\x85", "\ue000", "\u0378"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(6000)]
+    assert encoded(encoder, texts) == [direct.encode_ordinary(t) for t in texts]
+
+
+def test_scripts_without_spaces_are_reused():
+    one, two = "".join(chr(0x4E00 + 37 * i % 5000) + ("。" if i % 9 == 8 else "") for i in range(3000)), "русский текст, повторенный дословно; " * 60
+    encoder = E.Encoder(RANKS)
+    first = encoded(encoder, [one, two])
+    encoded_first = encoder.encoded
+    assert encoded(encoder, ["начало " + one, two]) == [encoder.encoding.encode_ordinary(t) for t in ("начало " + one, two)] and first[0]
+    assert encoder.encoded - encoded_first <= 3 < encoded_first
 
 
 def test_encoded_table(spark):
     rows = [(i, t, "clash") for i, t in enumerate(ODD)] + [(99, None, "x"), (0, "", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
     got = sorted((r.doc_id, list(r.ids)) for r in E.encode_corpus(df, "doc_id", "text").collect())
-    direct = E.load(E.ranks_path())
+    direct = E.load(RANKS)
     assert got == sorted((i, direct.encode_ordinary(t or "")) for i, t, _ in rows)
     assert E.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_shared_chunks_are_frequent_and_right(spark):
-    df = spark.createDataFrame([("the same opening words of every note stand here now",)] * 50 + [(None,)], "text string")
-    shared = E.shared_chunks(df, "text", E.ranks_path())
-    direct = E.load(E.ranks_path())
-    assert shared and all(ids.tolist() == direct.encode_ordinary(c.decode()) for c, ids in shared.items())
+def test_shared_pieces_are_frequent_and_right(spark):
+    df = spark.createDataFrame([("the same opening words of every note stand here now, and these go on for some time, as notes do",)] * 50 + [(None,)], "text string")
+    shared = E.shared_pieces(df, "text", RANKS)
+    direct = E.load(RANKS)
+    assert shared and all(ids.tolist() == direct.encode_ordinary(c) for c, ids in shared.items())
 
 
 def test_cuts_depend_on_the_text_alone():
-    t = b"one passage that many documents share, word for word, whatever precedes it"
-    alone = E.Chunks([t]).parts
-    assert E.Chunks([b"other text ", t, b"", b"x"]).parts[-1 - len(alone) : -1] == alone
+    t = " ".join(f"passage {i} that {i * i} documents share, word {i % 7} for word," for i in range(30))
+    alone = E.Pieces([t]).parts
+    assert len(alone) > 3 and E.Pieces(["other text ", t, "", "x"]).parts[-1 - len(alone) : -1] == alone
 
 
 def test_edit_distance_against_tables():
