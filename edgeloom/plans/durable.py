@@ -42,14 +42,15 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
+def materialise(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
+    With ``by``, a column of few values, a filter on it reads only its files.
     The table is deleted when the driver ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/edgeloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     files, target = _files(spark, path)
     files.deleteOnExit(target)
     cut = spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
+import random
 from datetime import datetime
 
+from edgeloom.operators import references
 from edgeloom.operators.references import bloom_blocks, orphan_references, probe
 
 REF = "id int, k string, at timestamp_ntz, always int"
@@ -42,3 +44,26 @@ def test_hot_key(spark):
     refs = spark.range(20_000).selectExpr("CAST(id AS INT) AS id", "IF(id % 3 = 0, 'hot', concat('k', id)) AS k")
     parents = spark.createDataFrame([("hot",)], "k string")
     assert orphan_references(refs, parents, "k").count() == refs.filter("k <> 'hot'").count()
+
+
+def test_many_versions_against_brute_force(spark):
+    rng = random.Random(5)
+    parents = [(f"k{rng.randrange(40)}", day(a := rng.randint(1, 25)) if rng.random() < 0.95 else None, day(max(1, a + rng.randint(-1, 5))) if rng.random() < 0.9 else None, rng.random() < 0.01, 0) for _ in range(250)]
+    parents += [("hot", day(n), day(n + 1), False, 0) for n in range(1, 28, 2) for _ in range(30)]
+    refs = [(i, rng.choice(["hot", f"k{rng.randrange(44)}"]), day(rng.randint(1, 30)), 0) for i in range(1500)]
+    want = {i for i, k, t, _ in refs if not any(p == k and (ever or (a and a <= t and (b is None or b > t))) for p, a, b, ever, _ in parents)}
+    out = orphan_references(spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PAR), "k", "at", "a", "b", "ever")
+    assert sorted(r.id for r in out.collect()) == sorted(want) and 0 < len(want) < 1500
+
+
+def test_a_filter_of_several_slices_has_the_same_plan(spark, monkeypatch):
+    parents = spark.range(30_000).selectExpr("concat('k', id) AS k")
+    refs = spark.range(3000).selectExpr("CAST(id AS INT) AS id", "concat('k', id * 20) AS k")
+    rows, plans = [], []
+    for size in (64 << 20, 3 * references.BLOCK_BYTES):
+        monkeypatch.setattr(references.skew, "BROADCAST_BYTES", size)
+        bits, blocks = bloom_blocks(parents, "k")
+        plans.append(probe(refs, "k", bits, blocks)._jdf.queryExecution().executedPlan().toString())
+        rows.append(sorted(r.id for r in orphan_references(refs, parents, "k").collect()))
+    assert rows[0] == rows[1] == list(range(1500, 3000))
+    assert [p.count("BroadcastHashJoin") for p in plans] == [1, 5] and not any("SortMergeJoin" in p or "Cartesian" in p for p in plans)
