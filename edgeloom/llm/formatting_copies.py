@@ -34,13 +34,15 @@ def fingerprints(df: DataFrame, record_id: str, text: Column) -> DataFrame:
     return df.select(F.col(record_id).alias("_id"), text.alias("_text")).withColumn("_h", F.unhex(F.md5("_text"))).withColumn("_check", F.xxhash64("_text", F.lit("check")))
 
 
-def copy_groups(marked: DataFrame, more_than_one: bool = True) -> DataFrame:
+def copy_groups(hashed: DataFrame, marked: DataFrame, more_than_one: bool = True) -> DataFrame:
     """(_h, _check, keep_id, n_copies) of each group of equal records, written to the shared folder.
 
-    keep_id is the smallest id. A hot group costs its partial aggregates only.
+    ``hashed`` holds what is grouped, ``marked`` the texts, which are read only
+    where hashes collide. keep_id is the smallest id. A hot group costs its
+    partial aggregates only.
     """
     agg = (F.min("_id").alias("keep_id"), F.count("*").alias("n_copies"), F.min("_check").alias("_check"), F.max("_check").alias("_most"))
-    groups = marked.groupBy("_h").agg(*agg)
+    groups = hashed.groupBy("_h").agg(*agg)
     groups = materialise(groups.filter("n_copies > 1") if more_than_one else groups, "copies")
     clash = groups.filter("_check <> _most").select("_h")
     clean = groups.filter("_check = _most").select("_h", "_check", "keep_id", "n_copies")
@@ -57,7 +59,8 @@ def copies(marked: DataFrame) -> DataFrame:
     record. An empty table gives no rows.
     """
     marked = marked.filter("_text IS NOT NULL")
-    pairs = join_hot(marked.select("_h", "_check", "_id"), copy_groups(marked), ["_h", "_check"], "n_copies")
+    hashed = materialise(marked.select("_h", "_check", "_id"), "hashes")  # texts are canonicalised once
+    pairs = join_hot(hashed, copy_groups(hashed, marked), ["_h", "_check"], "n_copies")
     return pairs.filter("_id <> keep_id").select("keep_id", F.col("_id").alias("copy_id")).distinct()
 
 
@@ -83,4 +86,5 @@ def edge_fingerprints(edges: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def collapsed_edges(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     """(keep_id, n_copies): one row for each edge whatever its spelling; n_copies counts its rows."""
-    return copy_groups(edge_fingerprints(edges, catalog), more_than_one=False).select("keep_id", "n_copies")
+    marked = edge_fingerprints(edges, catalog)
+    return copy_groups(marked, marked, more_than_one=False).select("keep_id", "n_copies")
