@@ -78,7 +78,9 @@ def grouped_split(records: DataFrame, ratios: dict[str, float] = RATIOS) -> Data
 
     All records of one scope and component get one split. A component larger
     than a split's share still stays whole and goes where the need is
-    greatest. An empty table gives no rows.
+    greatest. An empty table gives no rows. One task holds all labels of a
+    scope, so labels should be categories of which a scope has some thousands
+    at most; records and components may be any number.
     """
     names, shares = list(ratios), [float(x) for x in ratios.values()]
     sizes = records.groupBy("scope", "component", "label").agg(F.count("*").alias("n"))

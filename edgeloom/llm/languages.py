@@ -16,7 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled samples a language that the centroids are fitted on, those of the smallest hashes: at most this many.
@@ -53,6 +53,12 @@ def label_code(label: str | None) -> str | None:
     return _CODE.get(re.split(r"[-_]", (label or "").strip().lower())[0].strip())
 
 
+def label_column(label: Column) -> Column:
+    """``label_code`` as a column."""
+    names = F.create_map(*[F.lit(x) for item in _CODE.items() for x in item])
+    return F.try_element_at(names, F.trim(F.split(F.lower(F.trim(label)), "[-_]")[0]))
+
+
 def segments(text: str) -> list[str]:
     """The paragraphs of a text: runs of lines that aren't white space only."""
     out, held = [], []
@@ -201,13 +207,11 @@ class Classifier:
 
 
 def fitted(samples: DataFrame, lang: str, text: str, seed: int = 0) -> Model:
-    """The model of a table of labelled samples; of each language the FIT_ROWS rows of the smallest hashes are used."""
-    from pyspark.sql import Window
-
-    rows = samples.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """The model of a table of labelled samples; of each language, however its label is spelled, the FIT_ROWS rows of the smallest hashes are used."""
+    rows = samples.filter(F.col(text).isNotNull()).select(label_column(F.col(lang)).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5("text"), "text"))
     told = rows.withColumn("place", place).filter(F.col("place") <= FIT_ROWS).select("lang", "text").collect()
-    return fit(sorted((code, r.text) for r in told if (code := label_code(r.lang))), seed=seed)
+    return fit(sorted((r.lang, r.text) for r in told), seed=seed)
 
 
 def language_segments(documents: DataFrame, doc_id: str, text: str, lang: str, model: Model) -> DataFrame:

@@ -64,19 +64,32 @@ def myers(pattern: list[int], text: list[int]) -> int:
 
 
 class Items:
-    """Test items as word numbers, with the places of every piece."""
+    """Test items as word numbers, with the places of every piece by its hash, in packed arrays that are broadcast as they are."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.number: dict[str, int] = {}
         self.ids = [i for i, _ in items]
-        self.words = [[self.number.setdefault(w, len(self.number) + 1) for w in words(t or "")] for _, t in items]
-        self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
-            if len(w) >= WORDS:
-                for at in range(len(w) - PIECE + 1):
-                    self.places.setdefault(tuple(w[at : at + PIECE]), []).append((k, at))
-        pieces = np.array(list(self.places), np.uint64).reshape(-1, PIECE)
-        self.hashes = np.unique(_roll(pieces))
+        told = [[self.number.setdefault(w, len(self.number) + 1) for w in words(t or "")] for _, t in items]
+        sizes = np.fromiter(map(len, told), np.int64, len(told))
+        self.ends = np.cumsum(sizes)
+        self.flat = np.fromiter((n for w in told for n in w), np.uint32, int(sizes.sum()))
+        own = np.repeat(np.arange(len(told)), sizes)
+        at = np.arange(len(self.flat))
+        begin = at[(sizes[own] >= WORDS) & (at + PIECE <= self.ends[own])] if len(at) else at
+        h = _roll(np.lib.stride_tricks.sliding_window_view(self.flat, PIECE)[begin].astype(np.uint64)) if len(begin) else np.empty(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.item, self.begin = own[begin][order].astype(np.int32), begin[order]
+
+    def words(self, k: int) -> list[int]:
+        return self.flat[self.ends[k - 1] if k else 0 : self.ends[k]].tolist()
+
+    def places(self, nth: int) -> Iterator[tuple[int, int]]:
+        """(item, place in it) of the pieces with the nth hash."""
+        for j in range(self.first[nth], self.first[nth + 1]):
+            k = int(self.item[j])
+            yield k, int(self.begin[j] - (self.ends[k - 1] if k else 0))
 
 
 def _roll(windows: np.ndarray) -> np.ndarray:
@@ -110,11 +123,14 @@ def search(items: Items, docs: list[list[str]]) -> list[tuple[int, int, int, int
     at = np.searchsorted(items.hashes, h)
     hit = (at < len(items.hashes)) & (items.hashes[np.minimum(at, len(items.hashes) - 1)] == h)
     best: dict[tuple[int, int], list[int]] = {}
-    for b, d in zip(begin[hit].tolist(), doc[hit].tolist()):
+    held: dict[int, list[int]] = {}
+    for b, d, nth in zip(begin[hit].tolist(), doc[hit].tolist(), at[hit].tolist()):
         text = numbered[d]
         p = b - int(ends[d] - sizes[d])
-        for k, q in items.places.get(tuple(text[p : p + PIECE]), ()):
-            _verify(best, d, k, text, p, items.words[k], q)
+        for k, q in items.places(nth):
+            item = held.get(k) or held.setdefault(k, items.words(k))
+            if item[q : q + PIECE] == text[p : p + PIECE]:
+                _verify(best, d, k, text, p, item, q)
     return [(d, items.ids[k], run, errors) for (d, k), (run, errors) in best.items()]
 
 
@@ -128,13 +144,14 @@ def _verify(best: dict, d: int, k: int, text: list[int], p: int, item: list[int]
     while p + right < len(text) and q + right < len(item) and text[p + right] == item[q + right]:
         right += 1
     run = left + right
-    errors = 0 if run >= WORDS else WORDS
-    if errors:
-        # Passages that hold the run's first or last piece, where an error can only lie outside the run.
-        for start in range(max(0, q - left - WORDS + PIECE), min(q + right - PIECE, len(item) - WORDS) + 1):
-            shift = p - q + start
-            part = text[max(0, shift - ERRORS) : max(0, shift + WORDS + ERRORS)]
-            errors = min(errors, myers(item[start : start + WORDS], part))
+    errors = WORDS
+    # Passages that hold the run's first or last piece, where an error can only lie outside the run; those within the run first.
+    passages = range(max(0, q - left - WORDS + PIECE), min(q + right - PIECE, len(item) - WORDS) + 1)
+    for start in sorted(passages, key=lambda s: not q - left <= s <= q + right - WORDS):
+        shift = p - q + start
+        errors = min(errors, myers(item[start : start + WORDS], text[max(0, shift - ERRORS) : max(0, shift + WORDS + ERRORS)]))
+        if not errors:
+            break
     if errors <= ERRORS:
         if seen := best.get((d, k)):
             seen[0], seen[1] = max(seen[0], run), min(seen[1], errors)
@@ -167,10 +184,10 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     spark, kind, out = documents.sparkSession, dict(documents.dtypes)[doc_id], None
     schema = f"doc_id {kind}, item_id bigint, run int, errors int"
     for block in _item_blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Items(block))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(shared.value)
+            own = shared.value
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 start, held, size = 0, [], 0

@@ -5,8 +5,11 @@ the vertices in the order of their shifted starts for a few hops, each vertex
 joins the cluster that reaches it first, clusters contract to super-vertices,
 and the next level works on the edges between clusters. When no edge is left
 the assignments are composed from the smallest level back to the vertices.
-Each level shrinks long chains by a constant factor, so the number of levels
-is logarithmic in the longest chain, not linear as with label propagation.
+Growth is cut off after HOPS hops, sooner than the mean head start of 1 / BETA
+would have it: clusters then have a radius of at most HOPS and more edges run
+between them, but a level is HOPS joins and still shrinks long chains by a
+constant factor, so the number of levels is logarithmic in the longest chain,
+not linear as with label propagation.
 """
 
 from __future__ import annotations
