@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.operators.edges import closure
 from edgeloom.plans.durable import discard, materialise
+from edgeloom.plans.ranking import ranked
+from edgeloom.plans.skew import join_hot
 
 MOST_ROUNDS = 200
 
@@ -34,34 +36,51 @@ def neighbour_scores(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored.select("n1", "n2", *extra, (F.col("d1") * F.col("d2")).cast("double").alias("preferential_attachment"), F.col("cn").cast("double").alias("common_neighbors"), F.when(union > 0, F.col("cn") / union).otherwise(F.lit(0.0)).alias("jaccard"))
 
 
-def adjacency_lists(edges: DataFrame) -> DataFrame:
-    """(node, nbrs): sorted distinct neighbours, self-loops left out. A row is as long as its node's degree."""
-    return closure(edges, self_loops=False).groupBy("node").agg(F.array_sort(F.collect_list("nbr")).alias("nbrs"))
+#: Neighbours of a row of adjacency_lists.
+LIST_BLOCK = 1000
+
+
+def adjacency_lists(edges: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """(node, block, nbrs): sorted distinct neighbours, self-loops left out, in blocks of that many from 0, so a hub's list is many rows."""
+    placed = ranked(closure(edges, self_loops=False), ["node"], ["nbr"], "_r")
+    return placed.groupBy("node", F.floor((F.col("_r") - 1) / block).cast("int").alias("block")).agg(F.array_sort(F.collect_list("nbr")).alias("nbrs"))
 
 
 def connected_components(adjacency: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component.
 
-    Labels take the smallest label among neighbours and then jump to their
-    label's label, so the rounds grow with the logarithm of the diameter in
-    practice. Isolated nodes must come as (node, node). Every round is cut by
-    a written table.
+    At each level every node takes the node of the smallest hash among itself
+    and its neighbours, then that one's; nodes of one choice contract, and the
+    next level has the links between choices only, so links shrink with the
+    levels, whose number is logarithmic in the longest path. The choices are
+    composed at the end. Isolated nodes must come as (node, node).
     """
-    labels = materialise(adjacency.groupBy("node").agg(F.least(F.min("nbr"), F.first("node")).alias("label")), "labels")
-    for _ in range(MOST_ROUNDS):
-        near = adjacency.join(labels.select(F.col("node").alias("nbr"), F.col("label").alias("l")), "nbr").groupBy("node").agg(F.min("l").alias("l"))
-        lowered = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "l").alias("label"))
-        lowered = materialise(lowered, "lowered")
-        jump = lowered.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        after = materialise(lowered.join(jump, "label", "left").select("node", "was", F.least("label", "to").alias("label")), "labels")
-        changed = not after.filter("label <> was").isEmpty()
-        discard(labels)
-        discard(lowered)
-        labels = after.drop("was")
-        labels._edgeloom_path = after._edgeloom_path
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"labels still change after {MOST_ROUNDS} rounds")
+    loose = adjacency.groupBy("node").agg(F.max(F.col("node") != F.col("nbr")).alias("linked")).filter("NOT linked").select("node", F.col("node").alias("component"))
+    links = materialise(adjacency.filter("node < nbr").select("node", "nbr"), "links")
+    levels: list[DataFrame] = []
+    while not links.isEmpty():
+        if len(levels) == MOST_ROUNDS:
+            raise RuntimeError(f"links remain after {MOST_ROUNDS} levels")
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(levels))).alias("h"), F.col(c).alias("to"))
+        both = links.select(F.inline(F.array(F.struct("node", "nbr"), F.struct(F.col("nbr").alias("node"), F.col("node").alias("nbr")))))
+        near = materialise(both.groupBy("node").agg(F.least(F.min(rank("nbr")), F.first(rank("node"))).alias("m")).select("node", F.col("m.to").alias("to")), "near")
+        chosen = materialise(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", F.col("on").alias("to")), "chosen")
+        discard(near)
+        levels.append(chosen)
+        ends = links.join(chosen, "node").select(F.col("to").alias("a"), "nbr").join(chosen.withColumnRenamed("node", "nbr"), "nbr").filter(F.col("a") != F.col("to"))
+        after = materialise(ends.select(F.least("a", "to").alias("node"), F.greatest("a", "to").alias("nbr")).distinct(), "links")
+        discard(links)
+        links = after
+    if not levels:
+        return loose
+    composed = levels[-1]
+    for below in reversed(levels[:-1]):
+        composed = below.join(composed.select(F.col("node").alias("to"), F.col("to").alias("root")), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+    composed = materialise(composed, "composed")
+    for level in levels:
+        discard(level)
+    names = materialise(composed.groupBy("to").agg(F.min("node").alias("component"), F.count("*").alias("n")), "names")
+    return join_hot(composed, names, ["to"], "n").select("node", "component").unionByName(loose)
 
 
 def normalised_adjacency(adjacency: DataFrame, self_loops: bool = True) -> DataFrame:
@@ -139,8 +158,7 @@ def random_walks(adjacency: DataFrame, starts: DataFrame, length: int, walks: in
     running sum of weights, so a hub is rarely expanded. Walks of isolated
     nodes end.
     """
-    w = Window.partitionBy("node").orderBy("nbr")
-    placed = materialise(adjacency.filter("node <> nbr").withColumn("i", F.row_number().over(w) - 1), "placed")
+    placed = materialise(ranked(adjacency.filter("node <> nbr"), ["node"], ["nbr"], "_r").withColumn("i", F.col("_r") - 1).drop("_r"), "placed")
     degree = placed.groupBy("node").agg(F.count("*").alias("d"))
     state = starts.select("node").distinct().crossJoin(starts.sparkSession.range(walks).withColumnRenamed("id", "k"))
     state = state.select(F.concat_ws("#", "node", "k").alias("walk_id"), "node", F.lit(None).cast("string").alias("prev"), F.array("node").alias("path"))
@@ -149,7 +167,7 @@ def random_walks(adjacency: DataFrame, starts: DataFrame, length: int, walks: in
         ended = at.filter("d IS NULL").drop("d")
         going = at.filter("d IS NOT NULL")
         if step == 1 or (p == 1 and q == 1):
-            moved = going.withColumn("i", draw(seed, F.col("d"), F.col("walk_id"), F.lit(step)).cast("int")).join(placed, ["node", "i"])
+            moved = going.withColumn("i", draw(seed, F.col("d"), F.col("walk_id"), F.lit(step))).join(placed, ["node", "i"])
         else:
             moved = _weighted_step(going, placed, step, p, q, seed)
         moved = moved.select("walk_id", F.col("nbr").alias("node"), F.col("node").alias("prev"), F.concat("path", F.array("nbr")).alias("path"))
@@ -164,7 +182,7 @@ def _weighted_step(going: DataFrame, placed: DataFrame, step: int, p: float, q:
     weight = F.when(F.col("nbr") == F.col("prev"), 1 / p).when(F.coalesce("near", F.lit(False)), 1.0).otherwise(1 / q)
     key = [F.col("walk_id"), F.lit(step)]
     tries = going.select("walk_id", "node", "prev", "d", F.explode(F.sequence(F.lit(0), F.lit(4 * math.ceil(top / least) - 1))).alias("t"))
-    named = tries.withColumn("c", uniform(seed, *key, F.col("t"), F.lit("keep")) * top).withColumn("i", draw(seed, F.col("d"), *key, F.col("t")).cast("int")).join(placed, ["node", "i"]).join(back, ["prev", "nbr"], "left")
+    named = tries.withColumn("c", uniform(seed, *key, F.col("t"), F.lit("keep")) * top).withColumn("i", draw(seed, F.col("d"), *key, F.col("t"))).join(placed, ["node", "i"]).join(back, ["prev", "nbr"], "left")
     kept = materialise(named.filter(F.col("c") < weight).groupBy("walk_id").agg(F.min_by("nbr", "t").alias("nbr")), "kept")
     u = (draw(seed, 1 << 30, *key) + F.lit(0.5)) / F.lit(float(1 << 30))
     options = going.join(kept, "walk_id", "left_anti").withColumn("u", u).join(placed, "node").join(back, ["prev", "nbr"], "left").withColumn("w", weight)

@@ -97,3 +97,16 @@ def hits_and_mrr(ranked: DataFrame, group: list[str], query: str, k: int = 10) -
     true = ranked.groupBy(*group, query).agg(F.max(F.when(F.col("is_true"), F.col("score"))).alias("_t"))
     place = ranked.join(true.filter("_t IS NOT NULL"), [*group, query]).groupBy(*group, query).agg((1 + F.count_if(F.col("score") > F.col("_t"))).alias("rank"))
     return place.groupBy(*group).agg(F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias("hits_at_k"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.count("*").alias("n_queries"))
+
+
+def hits_among_scores(scored: DataFrame, group: list[str], query: list[str], k: int = 10) -> DataFrame:
+    """(group..., hits_at_k, mrr, n_queries): each positive's place among the negatives of its query (label, score), ties in its favour.
+
+    The place follows from the running count of negatives over the query's
+    distinct scores, so a query of any number of positives and negatives is
+    never expanded into their pairs.
+    """
+    at = thresholds(scored, [*group, *query]).filter("p > 0").withColumn("_rank", 1 + F.col("fp") - F.col("n"))
+    total = F.nullif(F.sum("p"), F.lit(0))
+    hits = F.sum(F.when(F.col("_rank") <= k, F.col("p")).otherwise(0))
+    return at.groupBy(*group).agg(F.round(hits / total, 6).alias("hits_at_k"), F.round(F.sum(F.col("p") / F.col("_rank")) / total, 6).alias("mrr"), F.sum("p").alias("n_queries"))

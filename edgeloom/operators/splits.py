@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import draw, keyed_md5
 from edgeloom.operators.edges import degree_rows
-from edgeloom.plans.durable import materialise
+from edgeloom.plans.durable import discard, materialise
 from edgeloom.plans.ranking import dense_index, ranked
 
 SEED = 42
@@ -46,31 +46,45 @@ def cold_start(pairs: DataFrame, edges: DataFrame, val: float = 0.1, test: float
     return pairs.select("n1", "n2").distinct().join(places.select(F.col("node").alias("n1"), split.alias("split")), "n1").select("n1", "n2", "split")
 
 
-def negatives(left: DataFrame, right: DataFrame, positives: DataFrame, need: int, symmetric: bool = False, seed: int = SEED, most_rounds: int = 30) -> DataFrame:
-    """(n1, n2, place): ``need`` typed pairs that are no positives, no self-pairs and distinct, numbered from 1 in draw order.
+def negatives(left: DataFrame, right: DataFrame, positives: DataFrame, need: int, symmetric: bool = False, seed: int = SEED) -> DataFrame:
+    """(n1, n2, place): ``need`` typed pairs that are no positives, no self-pairs and distinct, numbered from 1 in draw order, or all there are if that is fewer.
 
-    Each round draws three times what is missing (2000 at least); both ends of
-    a draw are hashed places in the sorted universes, so the cross product is
-    never made. A universe too small for ``need`` gives what there is after
-    ``most_rounds``.
+    Draws are hashed places in the sorted universes, three times what is
+    needed (2000 at least) and twice as many each round, so the cross product
+    is never made. Where more than half of the free pairs are needed, these
+    are listed instead and put in hash order: their number is then at most
+    twice the need, and the positives and self-pairs besides.
     """
-    a, b = dense_index(left, "node"), dense_index(right, "node")
+    a, b = materialise(dense_index(left, "node"), "left"), materialise(dense_index(right, "node"), "right")
     n_a, n_b = a.count(), b.count()
     spark = left.sparkSession
     if not n_a or not n_b or need <= 0:
         return spark.createDataFrame([], "n1 string, n2 string, place bigint")
-    taken = positives.select(*(_ordered(F.col("n1"), F.col("n2"), symmetric)))
-    drawn, upto = 0, max(2000, 3 * need)
-    for _ in range(most_rounds):
+    na, nb = a.select(F.col("node").alias("x"), F.col("idx").alias("ia")), b.select(F.col("node").alias("y"), F.col("idx").alias("ib"))
+    taken = positives.select(*_ordered(F.col("n1"), F.col("n2"), symmetric)).distinct()
+    both = a.join(b.select("node"), "node", "left_semi").count()
+    # Pairs of two nodes of both universes count once if there is no order.
+    pairs = n_a * n_b - both - (both * (both - 1) // 2 if symmetric else 0)
+    reachable = taken.filter("n1 <> n2").join(na.select(F.col("x").alias("n1"), F.lit(1).alias("_a1")), "n1", "left").join(nb.select(F.col("y").alias("n2"), F.lit(1).alias("_b2")), "n2", "left")
+    if symmetric:
+        reachable = reachable.join(nb.select(F.col("y").alias("n1"), F.lit(1).alias("_b1")), "n1", "left").join(na.select(F.col("x").alias("n2"), F.lit(1).alias("_a2")), "n2", "left")
+        inside = (F.col("_a1").isNotNull() & F.col("_b2").isNotNull()) | (F.col("_b1").isNotNull() & F.col("_a2").isNotNull())
+    else:
+        inside = F.col("_a1").isNotNull() & F.col("_b2").isNotNull()
+    free = pairs - reachable.filter(inside).count()
+    if 2 * need > free:
+        every = spark.range(n_a * n_b).select((F.col("id") % n_a).alias("ia"), F.floor(F.col("id") / n_a).alias("ib"))
+        listed = every.join(na, "ia").join(nb, "ib").filter("x <> y").select(*_ordered(F.col("x"), F.col("y"), symmetric)).distinct().join(taken, ["n1", "n2"], "left_anti")
+        return ranked(listed.withColumn("_h", keyed_md5(seed, F.lit("free"), "n1", "n2")), [], ["_h", "n1", "n2"], "place").filter(F.col("place") <= need).select("n1", "n2", "place")
+    upto = max(2000, 3 * need)
+    while True:
         picks = spark.range(upto).select("id", draw(seed, n_a, F.lit("a"), "id").alias("ia"), draw(seed, n_b, F.lit("b"), "id").alias("ib"))
-        named = picks.join(a.select(F.col("node").alias("x"), F.col("idx").alias("ia")), "ia").join(b.select(F.col("node").alias("y"), F.col("idx").alias("ib")), "ib").filter("x <> y")
-        fresh = named.select("id", *_ordered(F.col("x"), F.col("y"), symmetric)).join(taken, ["n1", "n2"], "left_anti").groupBy("n1", "n2").agg(F.min("id").alias("id"))
-        placed = ranked(fresh, [], ["id"], "place")
-        drawn = placed.count()
-        if drawn >= need:
-            break
+        named = picks.join(na, "ia").join(nb, "ib").filter("x <> y")
+        fresh = materialise(named.select("id", *_ordered(F.col("x"), F.col("y"), symmetric)).join(taken, ["n1", "n2"], "left_anti").groupBy("n1", "n2").agg(F.min("id").alias("id")), "fresh")
+        if fresh.count() >= need:  # half of the free pairs at most, so a few rounds are enough
+            return ranked(fresh, [], ["id"], "place").filter(F.col("place") <= need).select("n1", "n2", "place")
+        discard(fresh)
         upto *= 2
-    return placed.filter(F.col("place") <= need).select("n1", "n2", "place")
 
 
 def _ordered(x: Column, y: Column, symmetric: bool) -> list[Column]:

@@ -113,57 +113,68 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return placed.agg(F.round(F.corr(f"_r{a}", f"_r{b}"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
-def gram(rows: DataFrame, a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sum of the outer products of two vector columns, both sums and the count; each task sends one small matrix."""
+def grams(rows: DataFrame, group: str | None = None) -> dict:
+    """By group: (sum of outer products, sum, count) of the vectors va and vb put one after the other.
+
+    One pass. Tasks emit one small matrix a group, and the parts are added up
+    by place with partial sums, so the driver gets one matrix a group whatever
+    the number of tasks.
+    """
 
     def partial(batches):
-        total = None
+        held: dict = {}
         for pdf in batches:
-            if len(pdf):
-                x, y = np.stack(pdf["a"].to_numpy()).astype(float), np.stack(pdf["b"].to_numpy()).astype(float)
-                part = (x.T @ y, x.sum(0), y.sum(0), len(x))
-                total = part if total is None else tuple(p + q for p, q in zip(total, part))
-        if total is not None:
-            yield pd.DataFrame({"g": [total[0].ravel().tolist()], "x": [total[1].tolist()], "y": [total[2].tolist()], "n": [total[3]]})
-
-    parts = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).coalesce(64).mapInPandas(partial, "g array<double>, x array<double>, y array<double>, n bigint").collect()
-    if not parts:
-        return np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0
-    x, y = np.sum([p.x for p in parts], 0), np.sum([p.y for p in parts], 0)
-    return np.sum([p.g for p in parts], 0).reshape(len(x), len(y)), x, y, int(sum(p.n for p in parts))
-
-
-def linear_cka(both: DataFrame, a: str = "va", b: str = "vb") -> float | None:
+            for k, own in pdf.groupby("k"):
+                x = np.concatenate([np.stack(own["va"].to_numpy()), np.stack(own["vb"].to_numpy())], axis=1).astype(float)
+                part = np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]])
+                held[k] = held[k] + part if k in held else part
+        if held:
+            yield pd.DataFrame({"k": list(held), "v": [v.tolist() for v in held.values()]})
+
+    keyed = rows.select((F.col(group) if group else F.lit(0)).cast("long").alias("k"), "va", "vb")
+    parts = keyed.mapInPandas(partial, "k long, v array<double>").select("k", F.posexplode("v").alias("i", "v"))
+    sums = parts.groupBy("k", "i").agg(F.sum("v").alias("v")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v")).collect()
+    out = {}
+    for k, v in sums:
+        d = round((1 + 4 * (len(v) - 1)) ** 0.5 - 1) // 2
+        out[k] = (np.array(v[: d * d]).reshape(d, d), np.array(v[d * d : -1]), int(v[-1]))
+    return out
+
+
+def linear_cka(both: DataFrame) -> float | None:
     """Linear CKA of two spaces over (va, vb) rows, from centred Gram matrices of the dimensions; None without rows or variance."""
+    return next((cka_of(*g) for g in grams(both).values()), None)
 
-    def centred(p: str, q: str) -> float:
-        g, x, y, n = gram(both, p, q)
-        return float(((g - np.outer(x, y) / n) ** 2).sum()) if n else 0.0
 
-    top, down = centred(b, a), (centred(a, a) * centred(b, b)) ** 0.5
-    return top / down if down else None
+def cka_of(g: np.ndarray, x: np.ndarray, n: int, d: int | None = None) -> float | None:
+    """Linear CKA from a matrix of ``grams`` whose first d places (half of all if None) are the first space's."""
+    d = len(x) // 2 if d is None else d
+    c = (g - np.outer(x, x) / n) ** 2
+    down = (c[:d, :d].sum() * c[d:, d:].sum()) ** 0.5
+    return float(c[:d, d:].sum() / down) if down > 1e-12 else None
 
 
-def ridge_r2(both: DataFrame, x: str, y: str, folds: int = 5, alpha: float = 1.0, seed: int = 42) -> float | None:
-    """Cross-validated R2 of predicting y from x by ridge; folds by hash of the node, fitted from Gram matrices only."""
+def ridge_r2(both: DataFrame, folds: int = 5, alpha: float = 1.0, seed: int = 42) -> tuple[float, float] | None:
+    """Mean and deviation over folds of R2 of predicting vb from va by ridge; folds by hash of the node, fitted from Gram matrices only."""
     fold = F.pmod(F.conv(F.substring(keyed_md5(seed, "node"), 1, 8), 16, 10).cast("bigint"), F.lit(folds))
-    rows = both.withColumn("fold", fold)
-    parts = []
-    for k in range(folds):
-        own = rows.filter(F.col("fold") == k)
-        parts.append((gram(own, x, x), gram(own, x, y), gram(own, y, y)))
+    return ridge_of(grams(both.withColumn("fold", fold), "fold"), alpha)
+
+
+def ridge_of(parts: dict, alpha: float = 1.0, d: int | None = None) -> tuple[float, float] | None:
+    """``ridge_r2`` from the folds' ``grams``; None with fewer than two folds."""
     scores = []
-    for k in range(folds):
-        rest = [p for j, p in enumerate(parts) if j != k and p[0][3]]
-        if not rest or not parts[k][0][3]:
+    for k, (t, u, m) in parts.items():
+        rest = [p for j, p in parts.items() if j != k]
+        if not rest:
             continue
-        gxx, gxy = sum(p[0][0] for p in rest), sum(p[1][0] for p in rest)
-        sx, sy, n = sum(p[0][1] for p in rest), sum(p[1][2] for p in rest), sum(p[0][3] for p in rest)
-        w = np.linalg.solve(gxx - np.outer(sx, sx) / n + alpha * np.eye(len(sx)), gxy - np.outer(sx, sy) / n)
-        c = sy / n - (sx / n) @ w
-        (txx, ux, _, m), (txy, _, uy, _), (tyy, *_ ) = parts[k]
+        g, s, n = sum(p[0] for p in rest), sum(p[1] for p in rest), sum(p[2] for p in rest)
+        e = len(s) // 2 if d is None else d
+        w = np.linalg.solve(g[:e, :e] - np.outer(s[:e], s[:e]) / n + alpha * np.eye(e), g[:e, e:] - np.outer(s[:e], s[e:]) / n)
+        c = s[e:] / n - (s[:e] / n) @ w
         # Residual and total sums of squares of each output, from the fold's own sums.
-        rss = np.diag(tyy) - 2 * (np.einsum("ij,ij->j", w, txy) + c * uy) + np.einsum("ij,ik,kj->j", w, txx, w) + 2 * c * (ux @ w) + m * c**2
-        tss = np.diag(tyy) - uy**2 / m
-        scores.append(float(np.mean(1 - rss / np.where(tss > 0, tss, np.nan))))
-    return float(np.mean(scores)) if scores else None
+        own = np.diag(t[e:, e:])
+        rss = own - 2 * (np.einsum("ij,ij->j", w, t[:e, e:]) + c * u[e:]) + np.einsum("ij,ik,kj->j", w, t[:e, :e], w) + 2 * c * (u[:e] @ w) + m * c**2
+        tss = own - u[e:] ** 2 / m
+        if (tss > 0).any():
+            scores.append(float(np.nanmean(1 - rss / np.where(tss > 0, tss, np.nan))))
+    return (float(np.mean(scores)), float(np.std(scores))) if scores else None

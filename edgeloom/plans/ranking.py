@@ -10,6 +10,11 @@ from edgeloom.plans.durable import materialise
 _ROW_BITS = 33
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a written table, else written: the bounds of a range partitioning are sampled from it first, which would evaluate it twice."""
+    return df if hasattr(df, "_edgeloom_path") else materialise(df, "unranked")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """``df`` with each row's place from 1 within its group in the order of the columns.
 
@@ -19,6 +24,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     should be unique. Without a group the whole table is ranked.
     """
     by = [F.col(c) for c in [*group, *order]]
+    df = _cut(df)
     rows = materialise(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_m", _ROW_BITS)
     sizes = rows.groupBy(*group, part.alias("_p")).agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
@@ -41,6 +47,7 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, st
     in a group and not null.
     """
     by = [F.col(c) for c in [*group, order]]
+    df = _cut(df)
     rows = materialise(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "running")
     parts = rows.groupBy(*group, "_p").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())])
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

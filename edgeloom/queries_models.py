@@ -18,7 +18,8 @@ from edgeloom.session import table
 
 
 def _edges(s, d):
-    return materialise(edges(s, d), "edges")
+    """The cleaned edges' ends, types and relations: what the splits read several times, written once without the other columns."""
+    return materialise(edges(s, d).select("node1", "node2", "node1_type", "node2_type", "relation"), "edges")
 
 
 def _split(s, d):
@@ -120,13 +121,9 @@ def _chosen_confusion(s, d):
 
 
 def _hits(s, d):
-    """Each positive test pair among the other pairs of its relation that share its first node's run, as candidates of negative label."""
-    x = materialise(pair_vectors(s, d).select("pair_id", "relation", "split", "label", "n1", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("score")).filter("split = 'test'"), "scores")
-    pos = x.filter("label = 1").select(F.col("pair_id").alias("query"), "relation", "n1", F.col("score").alias("true_score"))
-    neg = x.filter("label = 0").select("relation", "n1", "score", "pair_id")
-    cand = pos.join(neg, ["relation", "n1"]).select("relation", "query", F.lit(False).alias("is_true"), "score")
-    own = pos.select("relation", "query", F.lit(True).alias("is_true"), F.col("true_score").alias("score"))
-    return M.hits_and_mrr(own.unionByName(cand), ["relation"], "query", 10)
+    """Each positive test pair among the negative pairs of its relation that share its first node."""
+    x = pair_vectors(s, d).filter("split = 'test'").select("relation", "label", "n1", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    return M.hits_among_scores(x, ["relation"], ["n1"], 10)
 
 
 #: Nodes at most that the comparisons of spaces take as queries, as the reference does.
@@ -152,7 +149,8 @@ def _neighbour_sims(s, d):
 def _cka(s, d):
     a, b = _spaces(s, d)
     both = materialise(a.select("node", F.col("vec").alias("va")).join(b.select("node", F.col("vec").alias("vb")), "node"), "both")
-    r = [("linear_cka", V.linear_cka(both)), ("ridge_r2", V.ridge_r2(both, "va", "vb"))]
+    ridge = V.ridge_r2(both)
+    r = [("linear_cka", V.linear_cka(both)), ("ridge_r2", ridge and ridge[0]), ("ridge_r2_std", ridge and ridge[1])]
     return s.createDataFrame([(n, None if x is None else round(x, 4)) for n, x in r], "measure string, value double")
 
 

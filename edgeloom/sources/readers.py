@@ -6,9 +6,6 @@ format can. Compressed text that can't be split is one task a file.
 
 from __future__ import annotations
 
-import glob
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +31,13 @@ def optional(spark: SparkSession, path: str, schema: str, **options) -> DataFram
 
 
 def lines_after(spark: SparkSession, path: str, skip: int) -> DataFrame:
-    """(value) of one text file without its first ``skip`` lines, which are told by their text."""
-    lines = spark.read.text(path)
-    head = [r[0] for r in lines.take(skip)]
-    return lines.filter(~F.col("value").isin(head)) if head else lines
+    """(value) of one text file without its first ``skip`` lines.
+
+    Lines are told by their number in the file's first split, never by their
+    text; ``skip`` must be no more than the lines of a split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    return lines.filter((F.col("_at") > 0) | (F.col("_n") >= skip)).select("value") if skip else lines.select("value")
 
 
 def guarded(spark: SparkSession, path: str, names: list[str], sep: str = "\t", comment: str | None = "#", skip: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -124,10 +124,8 @@ def parquet_tree(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def result_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All result tables that match a pattern, one after the other."""
-    files = sorted(glob.glob(pattern)) if "://" not in pattern else [pattern]
-    parts = [delimited(spark, f, schema) for f in files]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else spark.createDataFrame([], schema)
+    """All result tables that match a pattern of any file system, one after the other; an empty table where none does."""
+    return optional(spark, pattern, schema)
 
 
 def check_gzip(path: str) -> None:

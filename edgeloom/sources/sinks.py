@@ -27,15 +27,23 @@ def append_results(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def _small(df: DataFrame) -> list:
+    """The rows of a table of at most EXPORT_ROWS; an error for a larger one, as nothing may be left out."""
+    rows = df.limit(EXPORT_ROWS + 1).collect()
+    if len(rows) > EXPORT_ROWS:
+        raise ValueError(f"an export holds at most {EXPORT_ROWS} rows; write a table instead")
+    return rows
+
+
 def manifest(parts: dict[str, DataFrame | object], path: str) -> None:
     """A JSON file of scalars and small tables."""
-    out = {k: [r.asDict(True) for r in v.limit(EXPORT_ROWS).collect()] if isinstance(v, DataFrame) else v for k, v in parts.items()}
+    out = {k: [r.asDict(True) for r in _small(v)] if isinstance(v, DataFrame) else v for k, v in parts.items()}
     Path(path).write_text(json.dumps(out, indent=1, default=str, ensure_ascii=False))
 
 
 def check_report(checks: DataFrame, path: str) -> None:
     """One line a check: OK or FAIL, its name and its count."""
-    rows = checks.orderBy("check").limit(EXPORT_ROWS).collect()
+    rows = sorted(_small(checks), key=lambda r: r["check"])
     Path(path).write_text("".join(f"{'OK' if r.ok else 'FAIL'}\t{r['check']}\t{r.n}\n" for r in rows))
 
 

@@ -146,7 +146,7 @@ def test_splits_and_negatives(spark):
     assert neg.count() == 150 and neg.select("n1", "n2").distinct().count() == 150
     assert neg.join(pairs, ["n1", "n2"]).count() == 0
     full = spark.createDataFrame([(a, b) for a in "xy" for b in "pq"], "n1 string, n2 string")
-    assert S.negatives(full.select(F.col("n1").alias("node")), full.select(F.col("n2").alias("node")), full, 5, most_rounds=2).count() == 0
+    assert S.negatives(full.select(F.col("n1").alias("node")), full.select(F.col("n2").alias("node")), full, 5).count() == 0
 
 
 def test_rescue_takes_one_edge_a_node(spark):
@@ -182,8 +182,47 @@ def test_space_comparison_of_equal_spaces(spark):
     rows = [(f"n{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)]
     both = spark.createDataFrame([(n, v, v) for n, v in rows], "node string, va array<double>, vb array<double>")
     assert round(V.linear_cka(both), 6) == 1.0
-    assert V.ridge_r2(both, "va", "vb", alpha=1e-6) > 0.999
+    assert V.ridge_r2(both, alpha=1e-6)[0] > 0.999
     sims = V.sample_similarities(both)
     assert V.spearman(sims.filter("x < y"), "sa", "sb").first().spearman == 1.0
     assert V.neighbour_jaccard(sims, [5]).first().jaccard == 1.0
     assert V.linear_cka(both.limit(0)) is None
+
+
+def test_negatives_of_a_dense_universe_end(spark):
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(4)], "node string")
+    other = spark.createDataFrame([(f"m{i}",) for i in range(4)], "node string")
+    one = spark.createDataFrame([("n0", "m0"), ("n0", "m0"), ("n9", "m1")], "n1 string, n2 string")
+    all_free = [(r.n1, r.n2) for r in S.negatives(nodes, other, one, 40).orderBy("place").collect()]
+    assert len(all_free) == len(set(all_free)) == 15 and ("n0", "m0") not in all_free
+    assert [(r.n1, r.n2) for r in S.negatives(nodes, other, one, 9).orderBy("place").collect()] == all_free[:9]
+    few = S.negatives(nodes, other, one, 7).collect()
+    assert len({(r.n1, r.n2) for r in few}) == 7
+    own = spark.createDataFrame([("n1", "n0"), ("n2", "n2")], "n1 string, n2 string")
+    got = {(r.n1, r.n2) for r in S.negatives(nodes, nodes, own, 9, symmetric=True).collect()}
+    assert got == {("n0", "n2"), ("n0", "n3"), ("n1", "n2"), ("n1", "n3"), ("n2", "n3")}
+    assert len({(r.n1, r.n2) for r in S.negatives(nodes, nodes, own, 2, symmetric=True).collect()}) == 2
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    pairs = [(f"p{i:03}", f"p{i + 1:03}") for i in range(150)] + [("hub", f"h{i}") for i in range(200)] + [("z", "z"), ("b", "a"), ("a", "b")]
+    e = spark.createDataFrame(pairs, "node1 string, node2 string")
+    got = {r.node: r.component for r in G.connected_components(E.closure(e)).collect()}
+    assert {got[f"p{i:03}"] for i in range(151)} == {"p000"} and {got["hub"], *(got[f"h{i}"] for i in range(200))} == {"h0"}
+    assert got["z"] == "z" and got["a"] == got["b"] == "a" and len(got) == 151 + 201 + 3
+    assert G.connected_components(E.closure(e).limit(0)).count() == 0
+
+
+def test_lists_of_a_hub_come_in_blocks(spark):
+    e = spark.createDataFrame([("hub", f"n{i:02}") for i in range(25)] + [("hub", "hub")], "node1 string, node2 string")
+    rows = {(r.node, r.block): r.nbrs for r in G.adjacency_lists(e, 10).collect()}
+    assert [len(rows["hub", b]) for b in range(3)] == [10, 10, 5] and rows["hub", 2] == [f"n{i}" for i in range(20, 25)] and rows["n00", 0] == ["hub"]
+
+
+def test_hits_among_scores_against_pairs(spark):
+    rng = random.Random(3)
+    rows = [("r", f"q{rng.randrange(4)}", int(rng.random() < 0.3), round(rng.random(), 1)) for _ in range(300)] + [("s", "q", 1, 0.5), ("s", "q", None, 0.9), ("t", "q", 0, 0.5)]
+    got = {r.g: (r.hits_at_k, r.mrr, r.n_queries) for r in M.hits_among_scores(spark.createDataFrame(rows, "g string, q string, label int, score double"), ["g"], ["q"], 3).collect()}
+    ranks = [1 + sum(b == q and l == 0 and s > x for _, b, l, s in rows[:300]) for _, q, k, x in rows[:300] if k == 1]
+    assert got["r"] == (round(sum(r <= 3 for r in ranks) / len(ranks), 6), round(sum(1 / r for r in ranks) / len(ranks), 6), len(ranks))
+    assert got["s"] == (1.0, 1.0, 1) and "t" not in got

@@ -152,3 +152,28 @@ def test_disease_recipes(spark):
     assert C.recipe_stats(pairs).count() == 2 and C.funnel(pairs, pairs, pairs).count() == 3
     empty = p.limit(0)
     assert C.proteome(empty).count() == 0 and C.associations(a.limit(0)).count() == 0
+
+
+def test_only_the_first_lines_are_skipped(spark, tmp_path):
+    path = tmp_path / "t.tsv"
+    path.write_text("id\tx\nA\t1\nid\tx\nB\t2\n")
+    rows, counts = R.guarded(spark, str(path), ["id", "x"], skip=1)
+    assert sorted(map(tuple, rows.collect())) == [("A", "1"), ("B", "2"), ("id", "x")] and counts.first().n_lines == 3
+    assert R.lines_after(spark, str(path), 0).count() == 4 and R.lines_after(spark, str(path), 9).count() == 0
+    big = tmp_path / "big.txt"
+    big.write_text("".join(f"line {i}\n" for i in range(200_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        left = R.lines_after(spark, str(big), 3)
+        assert left.rdd.getNumPartitions() > 4 and left.count() == 199_997 and left.filter("value IN ('line 0', 'line 1', 'line 2')").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_exports_leave_nothing_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "EXPORT_ROWS", 3)
+    K.manifest({"t": spark.range(3)}, str(tmp_path / "m.json"))
+    with pytest.raises(ValueError):
+        K.manifest({"t": spark.range(4)}, str(tmp_path / "m.json"))
+    with pytest.raises(ValueError):
+        K.check_report(spark.range(4).selectExpr("concat('c', id) AS check", "id AS n", "true AS ok"), str(tmp_path / "r.txt"))
