@@ -35,6 +35,16 @@ def split_edges(pairs: DataFrame, edges: DataFrame, val: float = 0.1, test: floa
     return places.select("n1", "n2", "protected", split.alias("split"))
 
 
+def split_tasks(pairs: DataFrame, edges: DataFrame, val: float = 0.1, test: float = 0.2, seed: int = SEED) -> DataFrame:
+    """(task, n1, n2, protected, split): ``split_edges`` of each task of ``pairs`` (task, n1, n2) by its own, in one pass."""
+    marked = materialise(protected(pairs.select("task", "n1", "n2").distinct(), edges).withColumn("_h", keyed_md5(seed, "n1", "n2")), "marked")
+    totals = marked.groupBy("task").agg(F.count("*").alias("_n"))
+    places = ranked(marked, ["task", "protected"], ["_h", "n1", "n2"], "_r").join(totals, "task")
+    n_val, n_test = F.bround(F.col("_n") * val), F.bround(F.col("_n") * test)
+    split = F.when(F.col("protected"), "train").when(F.col("_r") <= n_val, "val").when(F.col("_r") <= n_val + n_test, "test").otherwise("train")
+    return places.select("task", "n1", "n2", "protected", split.alias("split"))
+
+
 def cold_start(pairs: DataFrame, edges: DataFrame, val: float = 0.1, test: float = 0.2, seed: int = SEED) -> DataFrame:
     """(n1, n2, split): all pairs of one n1 together; nodes with one row in the graph are train."""
     nodes = pairs.select(F.col("n1").alias("node")).distinct().join(degree_rows(edges), "node", "left")
@@ -119,6 +129,16 @@ def leak_checks(splits: DataFrame, negatives_: DataFrame) -> DataFrame:
     return met.agg(*counts).unpivot([], [*pairs, "positive_negative", "negatives_twice"], "check", "n").withColumn("ok", F.col("n") == 0)
 
 
+def task_leak_checks(tasks: DataFrame, positives: DataFrame, negatives_: DataFrame) -> DataFrame:
+    """(check, n): four checks a task of (task, n1, n2, split[, protected]) tables, each of which must be none, from one grouping by pair."""
+    tagged = positives.select("task", "n1", "n2", "split", F.lit(0).alias("k"), "protected").unionByName(negatives_.select("task", "n1", "n2", "split", F.lit(1).alias("k"), F.lit(False).alias("protected")))
+    kinds = lambda k: F.count_distinct(F.when(F.col("k") == k, F.col("split")))
+    met = tagged.groupBy("task", "n1", "n2").agg(kinds(0).alias("p"), kinds(1).alias("q"), F.max(F.col("protected") & (F.col("split") != "train")).alias("held"))
+    names = {"positives in two splits": F.count_if(F.col("p") > 1), "positives among negatives": F.count_if((F.col("p") > 0) & (F.col("q") > 0)), "negatives in two splits": F.count_if(F.col("q") > 1), "protected held out": F.count_if("held")}
+    counts = tasks.join(met.groupBy("task").agg(*[c.alias(n) for n, c in names.items()]), "task", "left").na.fill(0)
+    return counts.unpivot(["task"], list(names), "what", "n").select(F.concat_ws(": ", "task", "what").alias("check"), "n")
+
+
 def ranking_candidates(positives: DataFrame, pool: DataFrame, known: DataFrame, n: int = 99, seed: int = SEED, most_rounds: int | None = None) -> DataFrame:
     """(n1, n2, candidate, is_true): each positive pair's own n2 and n others of the pool (node) drawn for it.
 

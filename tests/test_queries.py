@@ -2,9 +2,9 @@
 
 import pytest
 
-from edgeloom import queries_edges, queries_graph, queries_mapping, queries_models, queries_references
+from edgeloom import queries_edges, queries_graph, queries_mapping, queries_models, queries_references, queries_tasks
 
-MODULES = [queries_references, queries_edges, queries_graph, queries_mapping, queries_models]
+MODULES = [queries_references, queries_edges, queries_graph, queries_mapping, queries_models, queries_tasks]
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLE = {n: o for m in MODULES for n, o in m.ORACLE.items()}
 SLOW = {"svm_link", "logistic_link", "node2vec", "spectral"}
