@@ -93,14 +93,14 @@ def sample_similarities(sample: DataFrame, among: DataFrame | None = None) -> Da
     return x.join(y, F.col("x") != F.col("y")).select("x", "y", F.round(dot(F.col("xa"), F.col("ya")), 8).alias("sa"), F.round(dot(F.col("xb"), F.col("yb")), 8).alias("sb"))
 
 
-def neighbour_jaccard(sims: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, jaccard): mean overlap of the k nearest neighbours in both spaces, ties by node."""
+def neighbour_jaccard(sims: DataFrame, ks: list[int], group: list[str] = []) -> DataFrame:
+    """(group..., k, jaccard): mean overlap of the k nearest neighbours in both spaces, ties by node."""
     ra = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sa"), "y"))
     rb = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sb"), "y"))
-    placed = sims.select("x", ra.alias("ra"), rb.alias("rb"))
+    placed = sims.select(*group, "x", ra.alias("ra"), rb.alias("rb"))
     k = F.explode(F.array(*map(F.lit, ks))).alias("k")
-    each = placed.select("*", k).groupBy("k", "x").agg(F.count_if((F.col("ra") <= F.col("k")) & (F.col("rb") <= F.col("k"))).alias("i"), F.count_if((F.col("ra") <= F.col("k")) | (F.col("rb") <= F.col("k"))).alias("u"))
-    return each.groupBy("k").agg(F.round(F.avg(F.col("i") / F.col("u")), 6).alias("jaccard"))
+    each = placed.select("*", k).groupBy(*group, "k", "x").agg(F.count_if((F.col("ra") <= F.col("k")) & (F.col("rb") <= F.col("k"))).alias("i"), F.count_if((F.col("ra") <= F.col("k")) | (F.col("rb") <= F.col("k"))).alias("u"))
+    return each.groupBy(*group, "k").agg(F.round(F.avg(F.col("i") / F.col("u")), 6).alias("jaccard"))
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
