@@ -58,6 +58,14 @@ def materialise(df: DataFrame, label: str = "cut", by: str | None = None) -> Dat
     return cut
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/edgeloom-{name}"
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
 def discard(cut: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later plan reads."""
     path = getattr(cut, "_edgeloom_path", None)
