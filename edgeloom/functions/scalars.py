@@ -108,3 +108,9 @@ def number_or_null(c: Column) -> Column:
     """A finite double, or null for what is none."""
     v = c.try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+
+
+def category_order(c: Column, order: list[str]) -> Column:
+    """The place of a category in a stated order, from 1; others, and null, come behind all."""
+    place = F.array_position(F.array(*map(F.lit, order)), c)
+    return F.coalesce(F.when(place > 0, place), F.lit(len(order) + 1)).cast("int")

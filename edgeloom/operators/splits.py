@@ -109,6 +109,35 @@ def stratified_sample(rows: DataFrame, stratum: str, key: list[str], fraction: C
     return places.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))).select(*rows.columns)
 
 
+def scales(edges: DataFrame, percents: tuple[int, ...], seed: int = SEED) -> DataFrame:
+    """(scale, edge_id, node1, node2, relation, rescued): for each share in percent, edges (edge_id, node1, node2, relation) of a nested sample by relation.
+
+    An edge with an end that no other edge names is in every scale. A node
+    that a scale would still lose gets its edge of the smallest edge_id back,
+    as rescued. One ranking serves all scales.
+    """
+    degree = edges.select(F.explode(F.array("node1", "node2")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    single = degree.filter("d = 1").select("node", F.lit(True).alias("only"))
+    placed = ranked(edges.withColumn("_h", keyed_md5(seed, "edge_id")), ["relation"], ["_h", "edge_id"], "_r")
+    sized = placed.join(edges.groupBy("relation").agg(F.count("*").alias("_t")), "relation")
+    for end in ("node1", "node2"):
+        sized = sized.join(single.select(F.col("node").alias(end), F.col("only").alias(f"_{end}")), end, "left")
+    kept = (F.col("_node1").isNotNull() | F.col("_node2").isNotNull()) | (F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_t") * (F.col("scale") / 100.0))))
+    every = sized.withColumn("scale", F.explode(F.array(*map(F.lit, percents)))).withColumn("kept", kept).select("scale", "edge_id", "node1", "node2", "relation", "kept")
+    every = materialise(every, "scales")
+    ends = lambda d: d.select("scale", F.explode(F.array("node1", "node2")).alias("node"), "edge_id")
+    lost = ends(every.filter("NOT kept")).join(ends(every.filter("kept")).select("scale", "node").distinct(), ["scale", "node"], "left_anti")
+    back = lost.groupBy("scale", "node").agg(F.min("edge_id").alias("edge_id")).select("scale", "edge_id", F.lit(True).alias("back")).distinct()
+    out = every.join(back, ["scale", "edge_id"], "left").filter(F.col("kept") | F.col("back").isNotNull())
+    return out.select("scale", "edge_id", "node1", "node2", "relation", F.col("back").isNotNull().alias("rescued"))
+
+
+def guarded_units(counts: DataFrame, train: int = 20, of_class: int = 5) -> DataFrame:
+    """``counts`` (n_train, n_pos, n_val, n_test, ...) with ``verdict``: ok, or the first thing that a unit lacks."""
+    verdict = F.when(F.col("n_train") < train, "too few train pairs").when(F.col("n_pos") < of_class, "too few positives").when(F.col("n_train") - F.col("n_pos") < of_class, "too few negatives")
+    return counts.withColumn("verdict", verdict.when(F.col("n_val") < 1, "no validation").when(F.col("n_test") < 1, "no test").otherwise("ok"))
+
+
 def rescue(held_out: DataFrame, train: DataFrame, universe: DataFrame) -> DataFrame:
     """The held-out edges (ord, n1, n2, ...) moved back: for each node of ``universe`` that ``train`` (n1, n2) lacks, its first by ord, n1, n2."""
     both = lambda d: d.select(F.explode(F.array("n1", "n2")).alias("node"))

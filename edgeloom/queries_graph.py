@@ -190,6 +190,9 @@ SELECT relation, p, cap, count(*) FILTER (d > cap) AS n_excluded, CAST(coalesce(
 w(walk_id, node, step, path) AS (SELECT node || '#0', node, 0, node FROM deg WHERE starts_with(node, 'cvcl')
   UNION ALL SELECT walk_id, p.nbr, step + 1, path || ' ' || p.nbr FROM w JOIN placed p ON p.node = w.node AND p.i = {draw_sql(7, 'p.d', 'walk_id', 'step + 1')} WHERE step < 4)
 SELECT walk_id, path FROM w WHERE step = 4""",
+    "walk_pairs": f"""WITH RECURSIVE {_MUT}, placed AS MATERIALIZED (SELECT a.node, nbr, row_number() OVER (PARTITION BY a.node ORDER BY nbr) - 1 AS i, d FROM adj a JOIN deg USING (node)),
+w(walk_id, node, step, path) AS (SELECT node || '#0', node, 0, [node] FROM deg WHERE starts_with(node, 'cvcl') UNION ALL SELECT walk_id, p.nbr, step + 1, list_append(path, p.nbr) FROM w JOIN placed p ON p.node = w.node AND p.i = {draw_sql(7, 'p.d', 'walk_id', 'step + 1')} WHERE step < 4),
+l AS (SELECT list_filter(path, lambda x: starts_with(x, 'cvcl')) AS p FROM w WHERE step = 4), k AS (SELECT p, unnest(generate_series(1, len(p) - 1)) AS i FROM l) SELECT p[i] AS a, p[i + 1] AS b, count(*) AS n FROM k GROUP BY 1, 2""",
     "propagate": f"""WITH {_MUT}, a AS (SELECT node, nbr FROM adj UNION ALL SELECT node, node FROM deg), s AS (SELECT node, count(*) AS d FROM a GROUP BY 1)
 SELECT a.node, round(sum(deg.d / sqrt(x.d * y.d)), 6) AS x0, round(sum(1 / sqrt(x.d * y.d)), 6) AS x1 FROM a JOIN s x ON x.node = a.node JOIN s y ON y.node = a.nbr JOIN deg ON deg.node = a.nbr GROUP BY 1""",
     "edge_softmax": f"WITH {_MUT} SELECT a.node, nbr, round(d / sum(d) OVER (PARTITION BY a.node), 6) AS a FROM adj a JOIN deg ON deg.node = a.nbr",

@@ -283,7 +283,7 @@ _COLD = f"""WITH {_TASK}, o AS (SELECT n1, d = 1 AS single, row_number() OVER (P
 cold AS (SELECT n1, n2, CASE WHEN single THEN 'train' WHEN r <= round_even(total * 0.1, 0) THEN 'val' WHEN r <= round_even(total * 0.1, 0) + round_even(total * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM pairs JOIN o USING (n1))"""
 
 ORACLE = {
-    "strict_train_graph": _COLD + f""" SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_left FROM e WHERE NOT (relation = '{TASK}' AND EXISTS (SELECT 1 FROM cold WHERE split <> 'train' AND least(n1, n2) = least(node1, node2) AND greatest(n1, n2) = greatest(node1, node2)))""",
+    "strict_train_graph": _COLD + f""" SELECT count(*) AS n_edges, count(DISTINCT (least(node1, node2), greatest(node1, node2))) FILTER (relation = '{TASK}' AND (node1 IN (SELECT n1 FROM cold WHERE split <> 'train') OR node2 IN (SELECT n1 FROM cold WHERE split <> 'train'))) AS n_left FROM e WHERE NOT (relation = '{TASK}' AND EXISTS (SELECT 1 FROM cold WHERE split <> 'train' AND least(n1, n2) = least(node1, node2) AND greatest(n1, n2) = greatest(node1, node2)))""",
     "embedding_sanity": """WITH c AS (SELECT *, embedding IS NOT NULL AND len(embedding) = dimension AS sized, CAST(embedding AS DOUBLE[]) AS v FROM embedding_catalog), k AS (SELECT *, sized AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN v]) AS fin FROM c), m AS (SELECT *, CASE WHEN fin THEN sqrt(list_inner_product(v, v)) END AS n FROM k)
 SELECT embedding_source, training_condition, seed, count(*) AS n, count(*) - count(DISTINCT node_id) AS n_repeated, count(*) FILTER (embedding IS NULL) AS n_null, count(*) FILTER (embedding IS NOT NULL AND NOT sized) AS n_missized, count(*) FILTER (sized AND NOT fin) AS n_nonfinite, count(*) FILTER (n = 0) AS n_zero, round(min(n), 5) AS min_norm, round(max(n), 5) AS max_norm, round(avg(n), 5) AS avg_norm FROM m GROUP BY 1, 2, 3""",
     "cosine_knn": f"WITH {_SIMS} SELECT x, y, CAST(r AS INTEGER) AS r, round(sa, 6) AS sa FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sa DESC, y) AS r FROM sims) WHERE r <= 10",
@@ -303,8 +303,9 @@ k AS (SELECT 'train_val' AS "check", (SELECT count(*) FROM (SELECT n1, n2 FROM s
 UNION ALL SELECT 'val_test', (SELECT count(*) FROM (SELECT n1, n2 FROM sp WHERE split = 'val' INTERSECT SELECT n1, n2 FROM sp WHERE split = 'test')) UNION ALL SELECT 'positive_negative', (SELECT count(*) FROM (SELECT n1, n2 FROM sp INTERSECT SELECT n1, n2 FROM z))
 UNION ALL SELECT 'negatives_twice', (SELECT count(*) FROM (SELECT n1, n2 FROM z GROUP BY 1, 2 HAVING count(DISTINCT split) > 1))) SELECT "check", n, n = 0 AS ok FROM k""",
     "stratified_sample": f"WITH {_STRATA} SELECT edge_id, relation FROM o WHERE r <= greatest(1, round_even(total * CASE WHEN relation = 'GEN-cex-GEN' THEN 0.015 WHEN relation IN ('GEN-ass-DIS', 'GEN-ppi-GEN') THEN 1.0 ELSE 0.25 END, 0))",
-    "nested_sample": f"""WITH {_STRATA}, c AS (SELECT relation, any_value(total) AS total FROM o GROUP BY 1), k AS (SELECT relation, CAST(greatest(1, round_even(total * 0.25, 0)) AS BIGINT) AS n_25, CAST(greatest(1, round_even(total * 0.5, 0)) AS BIGINT) AS n_50, CAST(greatest(1, round_even(total * 0.75, 0)) AS BIGINT) AS n_75 FROM c)
-SELECT *, n_25 AS n_25_in_50, n_50 AS n_50_in_75 FROM k""",
+    "nested_sample": f"""WITH {_STRATA}, k AS (SELECT relation, r <= greatest(1, round_even(total * 0.25, 0)) AS a, r <= greatest(1, round_even(total * 0.5, 0)) AS b, r <= greatest(1, round_even(total * 0.75, 0)) AS c FROM o)
+SELECT relation, count(*) FILTER (a) AS n_25, count(*) FILTER (b) AS n_50, count(*) FILTER (c) AS n_75, count(*) FILTER (a AND b) AS n_25_in_50, count(*) FILTER (b AND c) AS n_50_in_75 FROM k GROUP BY 1""",
+    "pair_features": f"WITH {_SCORES.replace('CAST(embedding AS DOUBLE[])', 'embedding')} SELECT pair_id, CAST(128 AS INTEGER) AS n_features, round(list_sum([CAST(a[i] * b[i] AS DOUBLE) FOR i IN range(1, 65)]) + list_sum([CAST(abs(a[i] - b[i]) AS DOUBLE) FOR i IN range(1, 65)]), 3) AS feature_total, round(list_sum([CAST(a[i] + b[i] AS DOUBLE) FOR i IN range(1, 65)]), 3) AS sum_total FROM pv",
     "pair_scores": f"WITH {_SCORES} SELECT pair_id, relation, split, label, score FROM l",
     "auroc": _areas(" SELECT relation, split, round(sum(p * (neg - fp + 0.5 * n)) / nullif(max(pos * neg), 0), 6) AS auroc FROM c GROUP BY 1, 2", "relation, split"),
     "auprc": _areas(" SELECT relation, split, round(sum(p / nullif(pos, 0) * tp / (tp + fp)), 6) AS auprc, CAST(sum(p + n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS n_pos FROM c GROUP BY 1, 2", "relation, split"),

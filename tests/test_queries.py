@@ -2,9 +2,9 @@
 
 import pytest
 
-from edgeloom import queries_benchmarks, queries_edges, queries_graph, queries_mapping, queries_models, queries_references, queries_sources, queries_tasks
+from edgeloom import queries_benchmarks, queries_edges, queries_graph, queries_mapping, queries_models, queries_references, queries_samples, queries_sources, queries_tasks
 
-MODULES = [queries_references, queries_edges, queries_graph, queries_mapping, queries_models, queries_tasks, queries_benchmarks, queries_sources]
+MODULES = [queries_references, queries_edges, queries_graph, queries_mapping, queries_models, queries_tasks, queries_benchmarks, queries_sources, queries_samples]
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLE = {n: o for m in MODULES for n, o in m.ORACLE.items()}
 SLOW = {"svm_link", "logistic_link", "node2vec", "spectral"}
