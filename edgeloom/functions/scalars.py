@@ -114,3 +114,13 @@ def category_order(c: Column, order: list[str]) -> Column:
     """The place of a category in a stated order, from 1; others, and null, come behind all."""
     place = F.array_position(F.array(*map(F.lit, order)), c)
     return F.coalesce(F.when(place > 0, place), F.lit(len(order) + 1)).cast("int")
+
+
+def pair_key(a: Column, b: Column, n: Column | int) -> Column:
+    """One integer for a pair of numbers under n; n squared must be a long."""
+    return a.cast("bigint") * n + b.cast("bigint")
+
+
+def pair_of(key: Column, n: Column | int) -> tuple[Column, Column]:
+    """The two numbers of ``pair_key``."""
+    return ((key - F.pmod(key, F.lit(n) if isinstance(n, int) else n)) / n).cast("bigint"), F.pmod(key, F.lit(n) if isinstance(n, int) else n)

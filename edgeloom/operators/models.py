@@ -103,10 +103,15 @@ def svm(rows: DataFrame, gammas=RBF_GAMMA, landmarks: int = LANDMARKS) -> tuple[
     return best[0], best[2], best[1]
 
 
+#: Walks that one task of skip-gram trains on; the tasks' vectors are averaged after each of as many passes.
+WALKS_A_TASK = 500_000
+
+
 def node2vec(adjacency: DataFrame, dimension: int = 64, length: int = 10, walks: int = 4, p: float = 1.0, q: float = 1.0, window: int = 5, seed: int = 42) -> DataFrame:
     """(node, vec) by skip-gram with hierarchical softmax over second-order walks."""
     sentences = random_walks(adjacency, adjacency, length, walks, p, q, seed).select("path")
-    model = Word2Vec(vectorSize=dimension, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="v", numPartitions=1).fit(sentences)
+    tasks = max(1, -(-sentences.count() // WALKS_A_TASK))
+    model = Word2Vec(vectorSize=dimension, windowSize=window, minCount=1, maxIter=tasks, seed=seed, inputCol="path", outputCol="v", numPartitions=tasks).fit(sentences)
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vec"))
 
 

@@ -65,9 +65,19 @@ def negatives(left: DataFrame, right: DataFrame, positives: DataFrame, need: int
     are listed instead and put in hash order: their number is then at most
     twice the need, and the positives and self-pairs besides.
     """
-    a, b = materialise(dense_index(left, "node"), "left"), materialise(dense_index(right, "node"), "right")
-    n_a, n_b = a.count(), b.count()
-    spark = left.sparkSession
+    return negatives_among(universe(left), universe(right), positives, need, symmetric, seed)
+
+
+def universe(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct nodes (node, idx) in their order, written once, and their number."""
+    index = materialise(dense_index(nodes, "node"), "universe")
+    return index, index.count()
+
+
+def negatives_among(left: tuple[DataFrame, int], right: tuple[DataFrame, int], positives: DataFrame, need: int, symmetric: bool = False, seed: int = SEED) -> DataFrame:
+    """``negatives`` of two universes that several calls may share."""
+    (a, n_a), (b, n_b) = left, right
+    spark = a.sparkSession
     if not n_a or not n_b or need <= 0:
         return spark.createDataFrame([], "n1 string, n2 string, place bigint")
     na, nb = a.select(F.col("node").alias("x"), F.col("idx").alias("ia")), b.select(F.col("node").alias("y"), F.col("idx").alias("ib"))

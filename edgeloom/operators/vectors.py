@@ -54,10 +54,14 @@ def pair_vectors(pairs: DataFrame, vectors: DataFrame, keys: list[str], missing:
     return joined.withColumn("a", F.coalesce("a", zeros)).withColumn("b", F.coalesce("b", zeros)) if missing == "zero" else joined
 
 
+#: Dimension up to which raw features hold both vectors.
+RAW_UP_TO = 256
+
+
 def features(a: Column, b: Column, raw: bool = False) -> Column:
-    """Products, then absolute differences, then, if raw, both vectors."""
+    """Products, then absolute differences, then, if raw and of RAW_UP_TO values at most, both vectors."""
     parts = [F.zip_with(a, b, lambda x, y: x * y), F.zip_with(a, b, lambda x, y: F.abs(x - y))]
-    return F.concat(*parts, a, b) if raw else F.concat(*parts)
+    return F.when(F.size(a) <= RAW_UP_TO, F.concat(*parts, a, b)).otherwise(F.concat(*parts)) if raw else F.concat(*parts)
 
 
 def feature_sum(a: Column, b: Column) -> Column:

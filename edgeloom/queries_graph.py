@@ -153,7 +153,7 @@ s AS (SELECT n1, n2, label, CAST(a.d * b.d AS DOUBLE) AS preferential_attachment
   FROM q JOIN deg a ON a.node = n1 JOIN deg b ON b.node = n2 LEFT JOIN cn USING (n1, n2))"""
 AREAS = """, t AS (SELECT {g}, score, sum(label) AS p, sum(1 - label) AS n FROM l GROUP BY ALL),
 c AS (SELECT *, sum(p) OVER u AS tp, sum(n) OVER u AS fp, sum(p) OVER w AS pos, sum(n) OVER w AS neg FROM t WINDOW u AS (PARTITION BY {g} ORDER BY score DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY {g}))"""
-_COMPONENTS = f"""WITH RECURSIVE {CLEAN}, adj AS (SELECT node1 AS u, node2 AS v FROM e UNION SELECT node2, node1 FROM e),
+COMPONENTS = f"""WITH RECURSIVE {CLEAN}, adj AS (SELECT node1 AS u, node2 AS v FROM e UNION SELECT node2, node1 FROM e),
 walk(start, node) AS (SELECT u, u FROM adj UNION SELECT w.start, a.v FROM walk w JOIN adj a ON a.u = w.node WHERE w.start < a.v),
 low AS (SELECT node, min(start) AS component FROM (SELECT start, node FROM walk) GROUP BY 1)"""
 _HUBS = CLEAN + ", h AS (SELECT relation, node2, count(DISTINCT node1) AS d FROM e GROUP BY 1, 2)"
@@ -172,8 +172,8 @@ k AS (SELECT n1, c, count(*) AS s FROM (SELECT DISTINCT n1, c FROM c2) JOIN adj
 v AS (SELECT c2.n1, n2, t, coalesce(s, 0) AS s FROM c2 JOIN deg a ON a.node = c2.n1 JOIN deg b ON b.node = c2.c LEFT JOIN k ON k.n1 = c2.n1 AND k.c = c2.c),
 r AS (SELECT v.n1, v.n2, 1 + count(*) FILTER (v.s > w.s) AS rank FROM v JOIN v w ON w.t AND w.n1 = v.n1 AND w.n2 = v.n2 GROUP BY 1, 2)
 SELECT round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_k, round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries FROM r""",
-    "components": _COMPONENTS + " SELECT node, component FROM low",
-    "component_sizes": _COMPONENTS + ", s AS (SELECT count(*) AS n_nodes FROM low GROUP BY component) SELECT n_nodes, count(*) AS n_components FROM s GROUP BY 1",
+    "components": COMPONENTS + " SELECT node, component FROM low",
+    "component_sizes": COMPONENTS + ", s AS (SELECT count(*) AS n_nodes FROM low GROUP BY component) SELECT n_nodes, count(*) AS n_components FROM s GROUP BY 1",
     "adjacency_lists": f"WITH {CLEAN}, adj AS (SELECT node1 AS node, node2 AS nbr FROM e WHERE node1 <> node2 UNION SELECT node2, node1 FROM e WHERE node1 <> node2), p AS (SELECT node, nbr, CAST((row_number() OVER (PARTITION BY node ORDER BY nbr) - 1) // 1000 AS INTEGER) AS block FROM adj) SELECT node, block, CAST(count(*) AS INTEGER) AS n, md5(string_agg(nbr, ',' ORDER BY nbr)) AS nbrs_md5 FROM p GROUP BY 1, 2",
     "norm_adjacency": f"""WITH {CLEAN}, a AS (SELECT node1 AS node, node2 AS nbr FROM e UNION SELECT node2, node1 FROM e UNION SELECT node1, node1 FROM e UNION SELECT node2, node2 FROM e), d AS (SELECT node, count(*) AS d FROM a GROUP BY 1)
 SELECT a.node, a.nbr, round(1 / sqrt(x.d * y.d), 8) AS w FROM a JOIN d x ON x.node = a.node JOIN d y ON y.node = a.nbr""",

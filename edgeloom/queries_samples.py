@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from edgeloom.functions.scalars import category_order
 from edgeloom.functions.text import ensg, real_value
 from edgeloom.operators import edges as E
+from edgeloom.operators import graph as G
 from edgeloom.operators import mapping as P
 from edgeloom.operators import splits as S
 from edgeloom.plans.durable import materialise
 from edgeloom.plans.ranking import ranked
 from edgeloom.queries_edges import CLEAN, ENDS, edges
-from edgeloom.queries_graph import draw_sql
+from edgeloom.queries_graph import COMPONENTS, draw_sql
 from edgeloom.queries_models import labelled_pairs
 from edgeloom.queries_tasks import _md5
 from edgeloom.session import table
@@ -97,7 +98,45 @@ def _rows_distinct(s, d):
     return t.groupBy(*t.columns).agg(F.count("*").alias("n")).groupBy("relation").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"))
 
 
+def _component_classes(s, d):
+    """(kind, n_components, n_nodes): isolated nodes, small components and the giant one, which is the largest, the first by its smallest node."""
+    sizes = G.connected_components(materialise(E.closure(edges(s, d)), "adjacency")).groupBy("component").agg(F.count("*").alias("n"))
+    sizes = materialise(sizes, "sizes")
+    top = sizes.agg(F.min(F.struct((-F.col("n")).alias("m"), "component")).alias("t")).select(F.col("t.component").alias("giant"))
+    kind = F.when(F.col("component") == F.col("giant"), "giant").when(F.col("n") == 1, "isolated").otherwise("small")
+    return sizes.crossJoin(top).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_components"), F.sum("n").alias("n_nodes"))
+
+
+def _profile(s, d):
+    """(n_nodes, n_edges, n_components, is_connected, top_degree, top_node) of the simple undirected graph."""
+    adjacency = materialise(E.closure(edges(s, d)), "adjacency")
+    linked = adjacency.filter("node <> nbr")
+    degree = adjacency.groupBy("node").agg(F.count_if(F.col("node") != F.col("nbr")).alias("d"))
+    best = degree.agg(F.count("*").alias("n_nodes"), F.min(F.struct((-F.col("d")).alias("m"), "node")).alias("t"))
+    parts = G.connected_components(adjacency).agg(F.countDistinct("component").alias("n_components"))
+    out = best.crossJoin(parts).crossJoin(linked.agg((F.count("*") / 2).cast("bigint").alias("n_edges")))
+    return out.select("n_nodes", "n_edges", "n_components", (F.col("n_components") == 1).alias("is_connected"), (-F.col("t.m")).alias("top_degree"), F.col("t.node").alias("top_node"))
+
+
+def _pair_stats(s, d):
+    """(l_suppkey, n, total, smallest, largest, mean): several statistics of each group in one pass."""
+    v = F.col("l_quantity").cast("double")
+    return table(s, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.min(v).alias("smallest"), F.max(v).alias("largest"), F.round(F.avg(v), 6).alias("mean"))
+
+
+def _metric_pivots(s, d):
+    """One row a source, with the mean of three metrics for each of three relations, side by side."""
+    t = table(s, d, "seccion12_tabla_completa").filter("source IS NOT NULL")
+    wide = t.groupBy("source").pivot("relation", PIVOTED).agg(*[F.round(F.avg(m), 6).alias(m) for m in METRICS])
+    return wide.select("source", *[F.col(f"`{r}_{m}`").alias(f"{r}_{m}".replace("-", "_")) for r in PIVOTED for m in METRICS])
+
+
+#: Relations and metrics of the side-by-side table.
+PIVOTED = ["GEN-ass-DIS", "GEN-ppi-GEN", "CLL-mut-GEN"]
+METRICS = ["test_auprc", "test_auroc", "test_f1"]
+
 QUERIES = {
+    "component_classes": _component_classes, "graph_profile": _profile, "pair_stats": _pair_stats, "metric_pivots": _metric_pivots,
     "multiscale": _multiscale, "non_edges": _non_edges, "hold_out_positives": _hold_out, "unit_guards": _guards, "channel_sums": _channels, "exclusion_report": _exclusions, "external_mapping": _external,
     "catalog_summary": _catalog, "hin_input": _hin_input, "rows_distinct": _rows_distinct,
 }
@@ -118,6 +157,10 @@ b AS (SELECT key, CASE WHEN nr = 1 THEN vr WHEN nr > 1 AND nrv >= 1 THEN vrv WHE
 h AS (SELECT key, value, bool_or(hv) AS hv FROM m WHERE value IS NOT NULL GROUP BY 1, 2)"""
 
 ORACLE = {
+    "component_classes": COMPONENTS + ", s AS (SELECT component, count(*) AS n FROM low GROUP BY 1), t AS (SELECT component AS giant FROM s ORDER BY n DESC, component LIMIT 1) SELECT CASE WHEN component = giant THEN 'giant' WHEN n = 1 THEN 'isolated' ELSE 'small' END AS kind, count(*) AS n_components, CAST(sum(n) AS BIGINT) AS n_nodes FROM s, t GROUP BY 1",
+    "graph_profile": COMPONENTS + ", g AS (SELECT u AS node, count(*) FILTER (u <> v) AS d FROM adj GROUP BY 1) SELECT (SELECT count(*) FROM g) AS n_nodes, (SELECT count(*) FROM adj WHERE u < v) AS n_edges, (SELECT count(DISTINCT component) FROM low) AS n_components, (SELECT count(DISTINCT component) FROM low) = 1 AS is_connected, (SELECT max(d) FROM g) AS top_degree, (SELECT node FROM g ORDER BY d DESC, node LIMIT 1) AS top_node",
+    "pair_stats": "SELECT l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS total, CAST(min(l_quantity) AS DOUBLE) AS smallest, CAST(max(l_quantity) AS DOUBLE) AS largest, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean FROM lineitem GROUP BY 1",
+    "metric_pivots": "SELECT source, " + ", ".join(f"round(avg({m}) FILTER (relation = '{r}'), 6) AS {r.replace('-', '_')}_{m}" for r in PIVOTED for m in METRICS) + " FROM seccion12_tabla_completa WHERE source IS NOT NULL GROUP BY 1",
     "multiscale": f"WITH {_SCALE} SELECT f.scale, count(*) AS n_edges, (SELECT count(DISTINCT x) FROM (SELECT unnest([node1, node2]) AS x FROM f g WHERE g.scale = f.scale)) AS n_nodes, count(*) FILTER (rescued) AS n_rescued, round(100.0 * (SELECT count(DISTINCT x) FROM (SELECT unnest([node1, node2]) AS x FROM f g WHERE g.scale = f.scale)) / (SELECT count(DISTINCT node) FROM n), 4) AS pct_nodes FROM f GROUP BY 1",
     "non_edges": f"""WITH {ENDS}, p AS (SELECT DISTINCT least(node1, node2) AS n1, greatest(node1, node2) AS n2 FROM e), g AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT node FROM n)), z AS (SELECT (SELECT count(*) FROM g) AS na, (SELECT count(*) FROM p) AS need),
 d AS (SELECT id, {draw_sql(42, 'na', "'a'", 'id')} AS ia, {draw_sql(42, 'na', "'b'", 'id')} AS ib FROM (SELECT unnest(generate_series(0, greatest(2000, 3 * need) - 1)) AS id, na FROM z)),

@@ -66,11 +66,12 @@ class Built:
     def negatives(self) -> DataFrame:
         """(task, n1, n2, split): negatives of each task by the counts of its first splits."""
         counts = {(r.task, r.split): r["count"] for r in self.first.groupBy("task", "split").count().collect()}
+        nodes = materialise(E.ends(self.edges).distinct(), "nodes")
+        held = {t: S.universe(nodes.filter(F.col("node_type") == t).select("node")) for t in sorted({t for task in TASKS for t in task[1:3]})}
         out = []
         for task, t1, t2, symmetric in TASKS:
             bounds = [NEGATIVES[s] * counts.get((task, s), 0) for s in SPLITS]
-            nodes = lambda t: E.ends(self.edges).filter(F.col("node_type") == t).select("node")
-            own = S.negatives(nodes(t1), nodes(t2), self.first.filter(F.col("task") == task), sum(bounds), symmetric)
+            own = S.negatives_among(held[t1], held[t2], self.first.filter(F.col("task") == task), sum(bounds), symmetric)
             split = F.when(F.col("place") <= bounds[0], "train").when(F.col("place") <= bounds[0] + bounds[1], "val").otherwise("test")
             out.append(own.select(F.lit(task).alias("task"), "n1", "n2", split.alias("split")))
         return materialise(reduce(lambda a, b: a.unionByName(b), out), "negatives")

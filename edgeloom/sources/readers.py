@@ -128,11 +128,15 @@ def result_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return optional(spark, pattern, schema)
 
 
-def check_gzip(path: str) -> None:
-    """Raise NotGzip unless the local file begins as gzip does."""
-    with open(path, "rb") as f:
-        if f.read(2) != b"\x1f\x8b":
+def check_gzip(spark: SparkSession, path: str) -> None:
+    """Raise NotGzip unless the file, on any file system, begins as gzip does."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        if (stream.read(), stream.read()) != (0x1F, 0x8B):
             raise NotGzip(path)
+    finally:
+        stream.close()
 
 
 def first_column_like(df: DataFrame, *marks: str) -> str | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,23 @@ def append_results(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def remaining(units: DataFrame, path: str, *by: str) -> DataFrame:
+    """The units whose keys have no result at ``path`` yet, so that an interrupted run goes on where it stopped; all if there is no table."""
+    spark = units.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return units
+    kinds = dict(units.dtypes)
+    done = spark.read.parquet(path).select(*[F.col(c).cast(kinds[c]).alias(c) for c in by]).distinct()
+    return units.join(done, list(by), "left_anti")
+
+
+def npz_vectors(vectors: DataFrame, path: str) -> None:
+    """A NumPy archive with node_ids and embeddings of a table (node, vec), in the order of the nodes."""
+    rows = sorted(_small(vectors.select("node", "vec")), key=lambda r: r.node)
+    np.savez(path, node_ids=np.array([r.node for r in rows], dtype=str), embeddings=np.array([r.vec for r in rows], dtype=np.float32))
+
+
 def _small(df: DataFrame) -> list:
     """The rows of a table of at most EXPORT_ROWS; an error for a larger one, as nothing may be left out."""
     rows = df.limit(EXPORT_ROWS + 1).collect()

@@ -52,3 +52,11 @@ def test_draws_agree_with_sql(spark):
 @pytest.mark.parametrize("value", ["ENSG99999999999999", "ENSG0"])
 def test_long_and_zero_numbers(spark, value):
     assert one(spark, T.ensg, [value])[0].startswith("ENSG")
+
+
+def test_pairs_as_integers_and_categories_in_order(spark):
+    df = spark.createDataFrame([(0, 0), (3, 999_999), (999_999, 7)], "a bigint, b bigint").withColumn("k", X.pair_key(F.col("a"), F.col("b"), 1_000_000))
+    a, b = X.pair_of(F.col("k"), 1_000_000)
+    assert all((r.a, r.b) == (r.x, r.y) for r in df.select("a", "b", a.alias("x"), b.alias("y")).collect())
+    t = spark.createDataFrame([("low",), ("high",), ("odd",), (None,)], "c string").select("c", X.category_order(F.col("c"), ["high", "low"]).alias("o"))
+    assert {r.c: r.o for r in t.collect()} == {"high": 1, "low": 2, "odd": 3, None: 3}

@@ -21,9 +21,9 @@ def test_delimited_gzip_comments_and_projection(spark, tmp_path):
         f.write("# made by\na\tb\tc\n1\tx\t0.5\n2\t\tbad\n")
     df = R.delimited(spark, str(p), "a int, b string, c double", comment="#", columns=["a", "c"])
     assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 0.5), (2, None)]
-    R.check_gzip(str(p))
+    R.check_gzip(spark, str(p))
     with pytest.raises(R.NotGzip):
-        R.check_gzip(write(tmp_path / "page.gz", "<html>"))
+        R.check_gzip(spark, write(tmp_path / "page.gz", "<html>"))
     assert R.optional(spark, str(tmp_path / "absent.tsv"), "a int").count() == 0
 
 
@@ -177,3 +177,14 @@ def test_exports_leave_nothing_out(spark, tmp_path, monkeypatch):
         K.manifest({"t": spark.range(4)}, str(tmp_path / "m.json"))
     with pytest.raises(ValueError):
         K.check_report(spark.range(4).selectExpr("concat('c', id) AS check", "id AS n", "true AS ok"), str(tmp_path / "r.txt"))
+
+
+def test_vectors_as_an_archive_and_runs_that_go_on(spark, tmp_path):
+    v = spark.createDataFrame([("b", [3.0, 4.0]), ("a", [1.0, 2.0])], "node string, vec array<double>")
+    K.npz_vectors(v, str(tmp_path / "v.npz"))
+    assert [(r.node, r.vec) for r in R.npz_vectors(spark, str(tmp_path / "v.npz")).collect()] == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+    units = spark.createDataFrame([("t1", 0), ("t1", 1), ("t2", 0)], "task string, fold int")
+    path = str(tmp_path / "results")
+    assert K.remaining(units, path, "task", "fold").count() == 3
+    K.append_results(units.limit(2).withColumn("x", F.lit(1.0)), path, "task", "fold")
+    assert K.remaining(units, path, "task", "fold").count() == 1
