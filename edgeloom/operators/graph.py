@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,45 @@ def adjacency_lists(edges: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
     return placed.groupBy("node", F.floor((F.col("_r") - 1) / block).cast("int").alias("block")).agg(F.array_sort(F.collect_list("nbr")).alias("nbrs"))
 
 
+#: Links that one task joins; larger tables contract first.
+LAST_LINKS = 200_000
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, to) of all links in the task, by union and find."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for links in batches:
+        for a, b in zip(links["node"], links["nbr"]):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(above), "to": [top(x) for x in above]}, dtype=object)
+
+
 def connected_components(adjacency: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component.
 
     At each level every node takes the node of the smallest hash among itself
     and its neighbours, then that one's; nodes of one choice contract, and the
     next level has the links between choices only, so links shrink with the
-    levels, whose number is logarithmic in the longest path. The choices are
-    composed at the end. Isolated nodes must come as (node, node).
+    levels, whose number is logarithmic in the longest path. When at most
+    LAST_LINKS are left, one task joins them. The choices are composed at the
+    end. Isolated nodes must come as (node, node).
     """
     loose = adjacency.groupBy("node").agg(F.max(F.col("node") != F.col("nbr")).alias("linked")).filter("NOT linked").select("node", F.col("node").alias("component"))
     links = materialise(adjacency.filter("node < nbr").select("node", "nbr"), "links")
     levels: list[DataFrame] = []
-    while not links.isEmpty():
+    while left := links.count():
+        if left <= LAST_LINKS:
+            levels.append(materialise(links.coalesce(1).mapInPandas(_joined, "node string, to string"), "joined"))
+            break
         if len(levels) == MOST_ROUNDS:
             raise RuntimeError(f"links remain after {MOST_ROUNDS} levels")
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(levels))).alias("h"), F.col(c).alias("to"))
@@ -79,6 +107,7 @@ def connected_components(adjacency: DataFrame) -> DataFrame:
     composed = materialise(composed, "composed")
     for level in levels:
         discard(level)
+    discard(links)
     names = materialise(composed.groupBy("to").agg(F.min("node").alias("component"), F.count("*").alias("n")), "names")
     return join_hot(composed, names, ["to"], "n").select("node", "component").unionByName(loose)
 

@@ -204,7 +204,9 @@ def test_negatives_of_a_dense_universe_end(spark):
     assert len({(r.n1, r.n2) for r in S.negatives(nodes, nodes, own, 2, symmetric=True).collect()}) == 2
 
 
-def test_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("last", [200_000, 40, 0])
+def test_components_of_long_paths_and_hubs(spark, monkeypatch, last):
+    monkeypatch.setattr(G, "LAST_LINKS", last)
     pairs = [(f"p{i:03}", f"p{i + 1:03}") for i in range(150)] + [("hub", f"h{i}") for i in range(200)] + [("z", "z"), ("b", "a"), ("a", "b")]
     e = spark.createDataFrame(pairs, "node1 string, node2 string")
     got = {r.node: r.component for r in G.connected_components(E.closure(e)).collect()}
