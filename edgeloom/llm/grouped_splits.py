@@ -70,7 +70,9 @@ def _placed(rows: pd.DataFrame, needs: pd.DataFrame) -> pd.DataFrame:
     for r in rows.itertuples():
         components[r.component][r.label] = float(r.n)
     out = place(sorted(components.items()), demand)
-    return pd.DataFrame({"scope": rows["scope"].iloc[0] if len(rows) else None, "component": list(out), "to": pd.Series(list(out.values()), dtype="int32")}, columns=["scope", "component", "to"])
+    # Objects, not pandas' own strings, whose empty column Arrow refuses: a scope without a heavy component places none.
+    scope = [rows["scope"].iloc[0]] * len(out) if out else []
+    return pd.DataFrame({"scope": pd.Series(scope, dtype=object), "component": pd.Series(list(out), dtype=object), "to": pd.Series(list(out.values()), dtype="int32")})
 
 
 def grouped_split(records: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:

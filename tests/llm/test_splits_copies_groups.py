@@ -50,6 +50,14 @@ def test_a_source_larger_than_its_split(spark):
     assert set(got[got.component == "n:hub"]["split"]) == {"train"} and len(got) == 100
 
 
+def test_a_scope_without_a_heavy_source(spark):
+    rows = [(i, f"n{i}", "t", "r", "d") for i in range(2001)] + [(5000 + i, "hub", "t", "s", "d") for i in range(10)]
+    got = S.grouped_split(S.edge_records(edges(spark, rows))).toPandas()
+    shares = got[got.scope == "r"]["split"].value_counts()
+    assert len(got) == 2011 and got[got.scope == "s"]["split"].nunique() == 1
+    assert abs(shares["train"] - 1400.7) < 2 and abs(shares["validation"] - 200.1) < 2 and abs(shares["test"] - 400.2) < 2
+
+
 def test_no_edges_to_split(spark):
     assert S.grouped_split(S.edge_records(edges(spark, [(1, "a", "b", "r", "d")]).limit(0))).count() == 0
 
