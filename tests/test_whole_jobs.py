@@ -1,8 +1,10 @@
 """Queries and operators do the whole job: no node, pair, draw or group is left out."""
 
+import itertools
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from edgeloom import queries_graph, queries_models
@@ -57,6 +59,27 @@ def test_candidates_are_drawn_until_enough(spark):
     assert len({(r.n1, r.candidate) for r in rows}) == len(rows) and all(int(r.candidate[1:]) >= {"hub": 200, "most": 295, "few": 0}[r.n1] for r in rows)
 
 
+@pytest.mark.parametrize("rounds", [1, None])
+def test_draws_are_never_broadcast(spark, monkeypatch, rounds):
+    plans, write = [], S.materialise
+
+    def seen(df, label="cut"):
+        if label == "drawn":
+            plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return write(df, label)
+
+    monkeypatch.setattr(S, "materialise", seen)
+    pool = spark.createDataFrame([(f"d{i:03}",) for i in range(300)], "node string")
+    asked = spark.createDataFrame([(f"g{i}", "d001") for i in range(50)], "n1 string, n2 string")
+    assert S.ranking_candidates(asked, pool, asked, most_rounds=rounds).count() > 50 * 90
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for plan in plans:
+        for i, line in enumerate(plan):
+            inside = itertools.takewhile(lambda x: depth(x) > depth(line), plan[i + 1 :])
+            assert "BroadcastExchange" not in line or not any("Generate" in x for x in inside)
+    assert plans and any("Generate" in x for x in plans[0])
+
+
 def test_neighbours_come_from_all_common_nodes(spark, monkeypatch):
     rows = [(f"n{i:03}", [math.cos(i / 100), math.sin(i / 100)]) for i in range(230)]
     v = spark.createDataFrame(rows, "node string, vec array<double>")
