@@ -8,12 +8,15 @@ iteration by joins; both only use joins, aggregates and pyspark.ml.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import draw, uniform
@@ -59,8 +62,124 @@ def _choose(rows: DataFrame, estimators: dict) -> tuple[object, object, float]:
     return best
 
 
+#: Feature values that one task holds; the models of a larger table are fitted by all tasks together.
+VALUES_A_TASK = 1 << 24
+
+
+def _minimum(f: Callable, x: np.ndarray, rounds: int = 50, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+    """The argument of the smallest value that L-BFGS finds for ``f``, which gives value and gradient."""
+    steps, (value, slope) = [], f(x)
+    for _ in range(rounds):
+        turn, back = slope.copy(), []
+        for d, g, r in reversed(steps):
+            back.append(r * (d @ turn))
+            turn -= back[-1] * g
+        if steps:
+            d, g, _ = steps[-1]
+            turn *= (d @ g) / (g @ g)
+        for (d, g, r), a in zip(steps, reversed(back)):
+            turn += (a - r * (g @ turn)) * d
+        if turn @ slope <= 0:
+            turn, steps = slope.copy(), []
+        size = 1.0 if steps else min(1.0, 1.0 / max(np.linalg.norm(turn), 1e-12))
+        for _ in range(30):
+            after, bent = f(x - size * turn)
+            if after <= value - 1e-4 * size * (turn @ slope):
+                break
+            size /= 2
+        else:
+            break
+        d, g = -size * turn, bent - slope
+        if d @ g > 1e-12 * (g @ g):
+            steps = [*steps[1 - memory :], (d, g, 1 / (d @ g))]
+        done = value - after <= tolerance * max(abs(value), abs(after), 1e-12)
+        x, value, slope = x + d, after, bent
+        if done:
+            break
+    return x
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, hinge: bool) -> tuple[np.ndarray, float]:
+    """(coefficients, intercept) of the machine that LogisticRegression or LinearSVC fits: the penalty is on the standardised features' coefficients."""
+    share = w / w.sum()
+    mean = share @ x
+    scale = np.sqrt(np.maximum(share @ x**2 - mean**2, 0.0) * len(x) / max(1, len(x) - 1))
+    by = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 1e-9)
+    z = (x - mean) * by
+    sign = 2.0 * y - 1
+
+    def loss(c: np.ndarray) -> tuple[float, np.ndarray]:
+        m = sign * (z @ c[:-1] + c[-1])
+        each, pull = (np.maximum(0.0, 1 - m), -(m < 1).astype(float)) if hinge else (np.logaddexp(0.0, -m), -np.exp(-np.logaddexp(0.0, m)))
+        pull = share * pull * sign
+        return float(share @ each + penalty / 2 * (c[:-1] @ c[:-1])), np.append(pull @ z + penalty * c[:-1], pull.sum())
+
+    c = _minimum(loss, np.zeros(x.shape[1] + 1))
+    return c[:-1] * by, float(c[-1] - (mean * by) @ c[:-1])
+
+
+def _area(y: np.ndarray, score: np.ndarray) -> float:
+    """``average_precision`` of arrays; 0 without positives."""
+    if not (y == 1).any():
+        return 0.0
+    at, place = np.unique(-score, return_inverse=True)
+    p, n = np.bincount(place, y == 1, len(at)), np.bincount(place, y != 1, len(at))
+    tp, fp = p.cumsum(), n.cumsum()
+    return round(float((p / tp[-1] * tp / (tp + fp)).sum()), 6)
+
+
+def _chosen(x: np.ndarray, y: np.ndarray, w: np.ndarray, split: np.ndarray, grid, hinge: bool) -> tuple[float, float, np.ndarray]:
+    """(C, val AUPRC, scores of all rows) of the best machine of the grid on val."""
+    train, val, best = split == "train", split == "val", None
+    for c in grid:
+        a, b = _fitted(x[train], y[train], w[train], 1.0 / (c * max(1, train.sum())), hinge)
+        ap = _area(y[val], x[val] @ a + b)
+        if best is None or ap > best[1]:
+            best = (c, ap, x @ a + b)
+    return best
+
+
+def _small(rows: DataFrame) -> bool:
+    """Whether one task holds the features of ``rows``."""
+    n, d = rows.agg(F.count("*"), F.max(F.size(vector_to_array("features")))).first()
+    return 0 < n * (d or 0) <= VALUES_A_TASK
+
+
+def _in_one_task(rows: DataFrame, unit: Callable, order=None) -> tuple[DataFrame, str, float]:
+    """(scored rows, choice, val AUPRC) by ``unit`` (x, y, w, split, order), which fits a whole grid on the arrays of all rows."""
+    keep = [c for c in rows.columns if c != "features"]
+    out = rows.select(*keep, F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("_choice"), F.lit(None).cast("double").alias("_ap")).schema
+    asked = rows.withColumn("_x", vector_to_array("features")).drop("features")
+    asked = asked.withColumn("_o", F.lit(None).cast("string") if order is None else order(F.col("_x")))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        column = lambda c: t[c].to_numpy()
+        x = np.concatenate([np.asarray(p.flatten()) for p in t["_x"].chunks]).reshape(len(t), -1)
+        choice, ap, score = unit(x, column("label").astype(float), column("weight"), column("split"), column("_o"))
+        done = t.drop_columns(["_x", "_o"]).append_column("score", pa.array(score)).append_column("_choice", pa.array([str(choice)] * len(t))).append_column("_ap", pa.array([float(ap)] * len(t)))
+        yield from done.to_batches()
+
+    scored = materialise(asked.repartition(1).mapInArrow(fit, out), "scored")
+    first = scored.select("_choice", "_ap").first()
+    return scored.drop("_choice", "_ap"), first[0], first[1]
+
+
 def logistic(rows: DataFrame, grid=LOGISTIC_C) -> tuple[DataFrame, float, float]:
     """(scored rows, C, val AUPRC): the best of the grid, fitted again on train and val."""
+    if _small(rows):
+
+        def unit(x, y, w, split, _):
+            c, ap, _ = _chosen(x, y, w, split, grid, hinge=False)
+            both = (split == "train") | (split == "val")
+            a, b = _fitted(x[both], y[both], w[both], 1.0 / (c * both.sum()), hinge=False)
+            return c, ap, x @ a + b
+
+        scored, c, ap = _in_one_task(rows, unit)
+        return scored, float(c), ap
     n = max(1, rows.filter("split = 'train'").count())
     make = lambda c, m: LogisticRegression(regParam=1.0 / (c * m), weightCol="weight", maxIter=50)
     c, _, ap = _choose(rows, {c: make(c, n) for c in grid})
@@ -75,26 +194,50 @@ def linear_svm(rows: DataFrame, grid=SVM_C) -> tuple[DataFrame, float, float]:
     return _score(model, rows), c, ap
 
 
+def _landmark_order(x: Column, seed: int = 42) -> Column:
+    return F.md5(F.concat(F.lit(str(seed)), x.cast("string")))
+
+
+def _root(z: np.ndarray, gamma: float) -> np.ndarray:
+    """The inverse square root of the landmarks' kernel matrix."""
+    u, s, _ = np.linalg.svd(np.exp(-gamma * np.maximum((z**2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * z @ z.T, 0)))
+    return (u / np.sqrt(np.maximum(s, 1e-12))) @ u.T
+
+
+def _lifted(x: np.ndarray, z: np.ndarray, root: np.ndarray, gamma: float) -> np.ndarray:
+    d = (x**2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * x @ z.T
+    return np.exp(-gamma * np.maximum(d, 0)) @ root
+
+
 def nystroem(rows: DataFrame, gamma: float, landmarks: int = LANDMARKS, seed: int = 42) -> DataFrame:
     """Features mapped to an approximate RBF kernel's space by at most ``landmarks`` train rows, the first in hash order."""
     arrays = rows.withColumn("_x", vector_to_array("features"))
-    picked = arrays.filter("split = 'train'").select("_x").orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("_x").cast("string")))).limit(landmarks).collect()
+    picked = arrays.filter("split = 'train'").select("_x").orderBy(_landmark_order(F.col("_x"), seed)).limit(landmarks).collect()
     z = np.array([r[0] for r in picked])
-    k = np.exp(-gamma * ((z[:, None] - z[None]) ** 2).sum(2))
-    u, s, _ = np.linalg.svd(k)
-    root = (u / np.sqrt(np.maximum(s, 1e-12))) @ u.T
+    root = _root(z, gamma)
 
     @F.pandas_udf("array<double>")
     def lift(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy())
-        d = (m**2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * m @ z.T
-        return pd.Series(list(np.exp(-gamma * np.maximum(d, 0)) @ root))
+        return pd.Series(list(_lifted(np.stack(x.to_numpy()), z, root, gamma)))
 
     return arrays.withColumn("features", array_to_vector(lift("_x"))).drop("_x")
 
 
 def svm(rows: DataFrame, gammas=RBF_GAMMA, landmarks: int = LANDMARKS) -> tuple[DataFrame, str, float]:
     """(scored rows, kind, val AUPRC): the better of the linear and the approximated RBF machine on val; ties to the linear."""
+    if _small(rows):
+
+        def unit(x, y, w, split, order):
+            _, ap, score = _chosen(x, y, w, split, SVM_C, hinge=True)
+            best, train = ("linear", ap, score), np.flatnonzero(split == "train")
+            z = x[train[np.argsort(order[train].astype(str), kind="stable")][:landmarks]]
+            for g in gammas:
+                _, ap, score = _chosen(_lifted(x, z, _root(z, g), g), y, w, split, SVM_C, hinge=True)
+                if ap > best[1]:
+                    best = ("rbf_nystroem_approx", ap, score)
+            return best
+
+        return _in_one_task(rows, unit, _landmark_order)
     best = (*linear_svm(rows)[::2], "linear")
     for g in gammas:
         scored, _, ap = linear_svm(materialise(nystroem(rows, g, landmarks), "rbf"))

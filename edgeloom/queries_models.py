@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from edgeloom.functions.text import alnum_key
@@ -154,20 +156,28 @@ def _cka(s, d):
     return s.createDataFrame([(n, None if x is None else round(x, 4)) for n, x in r], "measure string, value double")
 
 
+#: Models that are fitted at the same time.
+AT_ONCE = 4
+
+
 def _classified(s, d, model):
     """By relation and source: the model chosen on val over all labelled pairs, and its areas on test; nulls where train lacks a class."""
     f = pair_vectors(s, d).filter("label IS NOT NULL").select("relation", "source", "pair_id", "split", "label", V.features(F.col("a"), F.col("b"), raw=True).alias("features"))
-    every = materialise(f, "features")
+    every = materialise(f.withColumn("unit", F.xxhash64("relation", "source")), "features", "unit")
     kinds = F.countDistinct(F.when(F.col("split") == "train", F.col("label")))
-    out = []
-    for g in every.groupBy("relation", "source").agg(kinds.alias("kinds")).orderBy("relation", "source").collect():
-        choice, ap, areas = None, None, every.sparkSession.createDataFrame([], "auroc double, auprc double, n_test bigint, n_pos_test bigint")
-        if g.kinds == 2:
-            rows = every.filter(F.col("relation").eqNullSafe(g.relation) & F.col("source").eqNullSafe(g.source)).drop("relation", "source")
-            scored, choice, ap = model(L.standardised(L.balanced_weights(rows)))
-            areas = M.ranking_report(scored.filter("split = 'test'"), []).select("auroc", "auprc", "n_test", "n_pos_test")
-        r = areas.first()
-        out.append((g.relation, g.source, None if choice is None else str(choice), None if ap is None else float(ap), *(r or (None,) * 4)))
+    units = every.groupBy("unit", "relation", "source").agg(kinds.alias("kinds")).orderBy("relation", "source").collect()
+
+    def fitted(g):
+        if g.kinds != 2:
+            return None
+        rows = every.filter((F.col("unit") == g.unit) & F.col("relation").eqNullSafe(g.relation) & F.col("source").eqNullSafe(g.source)).drop("unit", "relation", "source")
+        return model(L.standardised(L.balanced_weights(rows)))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        models = list(pool.map(fitted, units))
+    tests = [m[0].filter("split = 'test'").select(F.lit(i).alias("i"), "label", "score") for i, m in enumerate(models) if m]
+    areas = {r.i: (r.auroc, r.auprc, r.n_test, r.n_pos_test) for r in M.ranking_report(E.union_all(tests), ["i"]).collect()} if tests else {}
+    out = [(g.relation, g.source, *((None, None) if m is None else (str(m[1]), float(m[2]))), *areas.get(i, (None,) * 4)) for i, (g, m) in enumerate(zip(units, models))]
     return s.createDataFrame(out, "relation string, source string, choice string, val_auprc double, auroc double, auprc double, n_test bigint, n_pos_test bigint")
 
 

@@ -58,6 +58,18 @@ def test_classifiers_tell_classes(labelled):
     assert kind in ("linear", "rbf_nystroem_approx") and ap > 0.8 and M.auroc(scored.filter("split = 'test'"), []).first().auroc > 0.9
 
 
+def test_one_task_fits_what_all_tasks_fit(labelled, monkeypatch):
+    ready = L.standardised(L.balanced_weights(labelled)).cache()
+    rows = lambda scored: np.array([r.score for r in scored.orderBy("pair_id").collect()])
+    monkeypatch.setattr(L, "_choose", lambda *a: pytest.fail("a small table went to all tasks"))
+    one, machine = L.logistic(ready, grid=(1.0,)), L.svm(ready, gammas=(0.1,), landmarks=40)
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "VALUES_A_TASK", 0)
+    many, spread = L.logistic(ready, grid=(1.0,)), L.svm(ready, gammas=(0.1,), landmarks=40)
+    assert one[1:] == many[1:] and np.allclose(rows(one[0]), rows(many[0]), rtol=0.01, atol=0.02)
+    assert abs(machine[2] - spread[2]) < 0.02 and np.corrcoef(rows(machine[0]), rows(spread[0]))[0, 1] > 0.97
+
+
 def test_kernel_map_of_all_landmarks_is_exact(labelled):
     ready = L.standardised(L.balanced_weights(labelled.filter("pair_id < 40 OR pair_id >= 290")))
     x = {r.pair_id: r.x for r in ready.select("pair_id", L.vector_to_array("features").alias("x")).collect()}
