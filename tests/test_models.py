@@ -70,6 +70,15 @@ def test_one_task_fits_what_all_tasks_fit(labelled, monkeypatch):
     assert abs(machine[2] - spread[2]) < 0.02 and np.corrcoef(rows(machine[0]), rows(spread[0]))[0, 1] > 0.97
 
 
+def test_logistic_arrays_reach_the_minimum():
+    rng = np.random.default_rng(2)
+    x, y, w = rng.normal(size=(200, 3)) * [1, 5, 0], rng.integers(0, 2, 200).astype(float), rng.uniform(0.5, 2, 200)
+    a, b = L._fitted(x, y, w, 0.1, hinge=False)
+    pull = w / w.sum() * (1 / (1 + np.exp(-(x @ a + b))) - y)
+    var = (w / w.sum()) @ x**2 - ((w / w.sum()) @ x) ** 2
+    assert np.allclose(pull @ x + 0.1 * a * var * 200 / 199, 0, atol=5e-3) and abs(pull.sum()) < 1e-3 and a[2] == 0
+
+
 def test_kernel_map_of_all_landmarks_is_exact(labelled):
     ready = L.standardised(L.balanced_weights(labelled.filter("pair_id < 40 OR pair_id >= 290")))
     x = {r.pair_id: r.x for r in ready.select("pair_id", L.vector_to_array("features").alias("x")).collect()}
