@@ -4,6 +4,7 @@ import itertools
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,28 @@ def test_a_classifier_by_relation_and_source(spark, monkeypatch):
     got = {(r.relation, r.source): (r.choice, r.auroc, r.n_test) for r in queries_models.QUERIES["svm_link"](spark, "").collect()}
     assert got == {(r, s): ("c", 1.0, 2) for r in ("r1", "r2") for s in ("gae", "node2vec")} | {("r3", "gae"): (None, None, None)}
     assert seen == [6] * 4
+
+
+@pytest.mark.parametrize("p, q", [(0.25, 4.0), (0.5, 2.0), (4.0, 0.25)])
+def test_few_proposals_are_joined_and_kept_by_weight(p, q):
+    # Of ten places, 3 is the way back and 0 to 2 are common neighbours.
+    n = 60_000
+    h = np.random.default_rng(1).integers(0, 2**64, n, dtype=np.uint64)
+    walk, t, i, sure = G.proposals(h, np.full(n, 10), np.full(n, 3), p, q)
+    kept = sure | ((i < 3) if q > 1 else (i > 3))
+    order = np.lexsort((t, walk))
+    order = order[kept[order]]
+    at, first = np.unique(walk[order], return_index=True)
+    got = np.bincount(i[order][first], minlength=10) / n
+    weights = np.array([1.0] * 3 + [1 / p] + [1 / q] * 6)
+    assert len(at) == n and np.abs(got - weights / weights.sum()).max() < 0.006
+    assert len(walk) < 5 * n
+
+
+def test_weighted_steps_explode_no_proposals(spark, monkeypatch):
+    plans, write = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df, label="cut": plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    adj = E.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "node1 string, node2 string"))
+    assert G.random_walks(adj, adj, 5, 2, 0.25, 4.0).count() == 8
+    assert not any("Generate explode(sequence" in p or "Generate explode([0" in p for _, p in plans)
+    assert sum(label in ("walks", "kept") for label, _ in plans) == 5
