@@ -168,17 +168,41 @@ def _in_one_task(rows: DataFrame, unit: Callable, order=None) -> tuple[DataFrame
     return scored.drop("_choice", "_ap"), first[0], first[1]
 
 
+def units_in_tasks(rows: DataFrame, units: int, unit: Callable) -> DataFrame:
+    """(i, label, split, score, choice, val_auprc) of rows (i, label, split, features): each of the numbered units is balanced, standardised and fitted by ``unit`` (x, y, w, split) in a task of its own, all in one job."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        x = np.concatenate([np.asarray(p.flatten()) for p in t["features"].chunks]).reshape(len(t), -1).astype(float)
+        y, split = t["label"].to_numpy().astype(float), t["split"].to_numpy()
+        train = split == "train"
+        n, p = train.sum(), y[train].sum()
+        w = n / (2 * np.where(y == 1, p, n - p)) if abs(p / n - 0.5) > IMBALANCE else np.ones(len(y))
+        scale = x[train].std(axis=0, ddof=1)
+        x = (x - x[train].mean(axis=0)) * np.divide(1.0, scale, out=np.zeros_like(scale), where=scale != 0)
+        choice, ap, score = unit(x, y, w, split)
+        done = t.drop_columns(["features"]).append_column("score", pa.array(score)).append_column("choice", pa.array([str(choice)] * len(t))).append_column("val_auprc", pa.array([float(ap)] * len(t)))
+        yield from done.to_batches()
+
+    asked = rows.select(F.col("i").cast("int").alias("i"), F.col("label").cast("int").alias("label"), "split", "features")
+    return materialise(asked.repartitionById(units, F.col("i")).mapInArrow(fit, "i int, label int, split string, score double, choice string, val_auprc double"), "scored")
+
+
+def logistic_unit(x: np.ndarray, y: np.ndarray, w: np.ndarray, split: np.ndarray, grid=LOGISTIC_C) -> tuple[float, float, np.ndarray]:
+    """(C, val AUPRC, scores of all rows) of the best of the grid, fitted again on train and val."""
+    c, ap, _ = _chosen(x, y, w, split, grid, hinge=False)
+    both = (split == "train") | (split == "val")
+    a, b = _fitted(x[both], y[both], w[both], 1.0 / (c * both.sum()), hinge=False)
+    return c, ap, x @ a + b
+
+
 def logistic(rows: DataFrame, grid=LOGISTIC_C) -> tuple[DataFrame, float, float]:
     """(scored rows, C, val AUPRC): the best of the grid, fitted again on train and val."""
     if _small(rows):
-
-        def unit(x, y, w, split, _):
-            c, ap, _ = _chosen(x, y, w, split, grid, hinge=False)
-            both = (split == "train") | (split == "val")
-            a, b = _fitted(x[both], y[both], w[both], 1.0 / (c * both.sum()), hinge=False)
-            return c, ap, x @ a + b
-
-        scored, c, ap = _in_one_task(rows, unit)
+        scored, c, ap = _in_one_task(rows, lambda x, y, w, split, _: logistic_unit(x, y, w, split, grid))
         return scored, float(c), ap
     n = max(1, rows.filter("split = 'train'").count())
     make = lambda c, m: LogisticRegression(regParam=1.0 / (c * m), weightCol="weight", maxIter=50)

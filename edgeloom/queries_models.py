@@ -160,22 +160,34 @@ def _cka(s, d):
 AT_ONCE = 4
 
 
-def _classified(s, d, model):
-    """By relation and source: the model chosen on val over all labelled pairs, and its areas on test; nulls where train lacks a class."""
+def _classified(s, d, model, unit=None):
+    """By relation and source: the model chosen on val over all labelled pairs, and its areas on test; nulls where train lacks a class.
+
+    With ``unit``, which fits arrays, all units that a task holds are fitted by one job.
+    """
     f = pair_vectors(s, d).filter("label IS NOT NULL").select("relation", "source", "pair_id", "split", "label", V.features(F.col("a"), F.col("b"), raw=True).alias("features"))
     every = materialise(f.withColumn("unit", F.xxhash64("relation", "source")), "features", "unit")
     kinds = F.countDistinct(F.when(F.col("split") == "train", F.col("label")))
-    units = every.groupBy("unit", "relation", "source").agg(kinds.alias("kinds")).orderBy("relation", "source").collect()
+    units = every.groupBy("unit", "relation", "source").agg(kinds.alias("kinds"), (F.count("*") * F.max(F.size("features"))).alias("n_values")).orderBy("relation", "source").collect()
+    held = [i for i, g in enumerate(units) if unit and g.kinds == 2 and 0 < g.n_values <= L.VALUES_A_TASK]
 
-    def fitted(g):
-        if g.kinds != 2:
+    def fitted(i):
+        g = units[i]
+        if g.kinds != 2 or i in held:
             return None
         rows = every.filter((F.col("unit") == g.unit) & F.col("relation").eqNullSafe(g.relation) & F.col("source").eqNullSafe(g.source)).drop("unit", "relation", "source")
         return model(L.standardised(L.balanced_weights(rows)))
 
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        models = list(pool.map(fitted, units))
+        models = list(pool.map(fitted, range(len(units))))
     tests = [m[0].filter("split = 'test'").select(F.lit(i).alias("i"), "label", "score") for i, m in enumerate(models) if m]
+    if held:
+        index = s.createDataFrame([(units[i].relation, units[i].source, k) for k, i in enumerate(held)], "_r string, _s string, i int")
+        rows = every.join(F.broadcast(index), F.col("relation").eqNullSafe(F.col("_r")) & F.col("source").eqNullSafe(F.col("_s")))  # one row a relation and source
+        done = L.units_in_tasks(rows, len(held), unit)
+        for r in done.select("i", "choice", "val_auprc").distinct().collect():
+            models[held[r.i]] = (done, r.choice, r.val_auprc)
+        tests.append(done.filter("split = 'test'").select(F.array(*map(F.lit, held))[F.col("i")].alias("i"), "label", "score"))
     areas = {r.i: (r.auroc, r.auprc, r.n_test, r.n_pos_test) for r in M.ranking_report(E.union_all(tests), ["i"]).collect()} if tests else {}
     out = [(g.relation, g.source, *((None, None) if m is None else (str(m[1]), float(m[2]))), *areas.get(i, (None,) * 4)) for i, (g, m) in enumerate(zip(units, models))]
     return s.createDataFrame(out, "relation string, source string, choice string, val_auprc double, auroc double, auprc double, n_test bigint, n_pos_test bigint")
@@ -237,7 +249,7 @@ QUERIES = {
     "knn_jaccard": lambda s, d: V.neighbour_jaccard(_neighbour_sims(s, d), [10, 25, 50]),
     "spearman_similarity": lambda s, d: V.spearman(materialise(V.sample_similarities(_sample(s, d)).filter("x < y"), "sims"), "sa", "sb"),
     "space_comparison": _cka,
-    "logistic_link": lambda s, d: _classified(s, d, L.logistic),
+    "logistic_link": lambda s, d: _classified(s, d, L.logistic, L.logistic_unit),
     "svm_link": lambda s, d: _classified(s, d, L.svm),
     "pca_2d": _pca,
     "node2vec": lambda s, d: _shape(L.node2vec(whole_adjacency(s, d), p=0.5, q=2.0)),

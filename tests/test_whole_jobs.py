@@ -133,3 +133,18 @@ def test_weighted_steps_explode_no_proposals(spark, monkeypatch):
     assert G.random_walks(adj, adj, 5, 2, 0.25, 4.0).count() == 8
     assert not any("Generate explode(sequence" in p or "Generate explode([0" in p for _, p in plans)
     assert sum(label in ("walks", "kept") for label, _ in plans) == 5
+
+
+def test_small_units_are_fitted_by_one_job(spark, monkeypatch):
+    splits = ["train"] * 6 + ["val"] * 4 + ["test"] * 4
+    rows = [(r, src, i, splits[i], i % 2, [float(i % 2) + (i % 3) / 10, 1.0], [1.0, i / 7]) for r in ("r1", "r2", "r3") for src in ("gae", None) for i in range(14)]
+    rows += [("r4", "gae", 9, "train", 1, [1.0, 1.0], [1.0, 1.0])]
+    pairs = spark.createDataFrame(rows, "relation string, source string, pair_id int, split string, label int, a array<double>, b array<double>")
+    monkeypatch.setattr(queries_models, "pair_vectors", lambda s, d: pairs)
+    query = lambda: sorted(map(tuple, queries_models.QUERIES["logistic_link"](spark, "").collect()), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(queries_models.L, "logistic", None)  # not called for any unit
+        got = query()
+    assert len(got) == 7 and ("r4", "gae", *(None,) * 6) in got and sum(r[4] == 1.0 and r[6:] == (4, 2) for r in got) == 6
+    one_by_one = lambda s, d: queries_models._classified(s, d, queries_models.L.logistic)
+    assert got == sorted(map(tuple, one_by_one(spark, "").collect()), key=str)
