@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from edgeloom import queries_benchmarks as Q
 from edgeloom.operators import benchmarks as B
 from edgeloom.operators import vectors as V
 
@@ -107,3 +108,19 @@ def test_fits_from_one_pass_of_grams(spark):
     got = V.ridge_of(parts, d=3)
     assert np.allclose(got, (np.mean([score(odd, even), score(even, odd)]), np.std([score(odd, even), score(even, odd)])))
     assert V.ridge_of({}) is None and V.grams(df.limit(0)) == {}
+
+
+def test_space_pairs_writes_no_similarities(spark, small, monkeypatch):
+    rows, write = {}, Q.materialise
+
+    def seen(df, label="cut"):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Q, "materialise", seen)
+    monkeypatch.setattr(Q.V, "NODES_A_TASK", 16)  # nodes of a pair in several tasks
+    got = {r.pair: r for r in Q.QUERIES["space_pairs"](spark, small).collect()}
+    assert got and all(n <= rows["common"] for n in rows.values())
+    monkeypatch.undo()
+    assert {r.pair: r for r in Q.QUERIES["space_pairs"](spark, small).collect()} == got
