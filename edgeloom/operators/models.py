@@ -14,14 +14,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import draw, uniform
-from edgeloom.operators.graph import normalised_adjacency, random_walks
+from edgeloom.operators.graph import normalised_adjacency
 from edgeloom.operators.metrics import average_precision
+from edgeloom.operators.skip_gram import walk_vectors
 from edgeloom.plans.durable import materialise
 
 LOGISTIC_C = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
@@ -270,16 +271,13 @@ def svm(rows: DataFrame, gammas=RBF_GAMMA, landmarks: int = LANDMARKS) -> tuple[
     return best[0], best[2], best[1]
 
 
-#: Walks that one task of skip-gram trains on; the tasks' vectors are averaged after each of as many passes.
+#: Walks that a block of skip-gram has at most, on average.
 WALKS_A_TASK = 500_000
 
 
 def node2vec(adjacency: DataFrame, dimension: int = 64, length: int = 10, walks: int = 4, p: float = 1.0, q: float = 1.0, window: int = 5, seed: int = 42) -> DataFrame:
-    """(node, vec) by skip-gram with hierarchical softmax over second-order walks."""
-    sentences = random_walks(adjacency, adjacency, length, walks, p, q, seed).select("path")
-    tasks = max(1, -(-sentences.count() // WALKS_A_TASK))
-    model = Word2Vec(vectorSize=dimension, windowSize=window, minCount=1, maxIter=tasks, seed=seed, inputCol="path", outputCol="v", numPartitions=tasks).fit(sentences)
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vec"))
+    """(node, vec) by skip-gram with negative sampling over second-order walks, one pass; ``adjacency`` has each link in both directions."""
+    return walk_vectors(adjacency, dimension, length, walks, p, q, window, seed, WALKS_A_TASK)
 
 
 def spectral(adjacency: DataFrame, dimension: int = 16, rounds: int = 20, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from edgeloom.operators import edges as E
 from edgeloom.operators import metrics as M
 from edgeloom.operators import models as L
+from edgeloom.operators import skip_gram as K
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,62 @@ def test_node2vec_vectors(cliques, monkeypatch, each):
     assert parted(L.node2vec(cliques, dimension=8, length=8, walks=20).collect())
 
 
+def test_node2vec_trains_each_pair_once_in_any_number_of_blocks(spark, cliques):
+    whole = cliques.unionByName(spark.createDataFrame([("alone", "alone")], "node string, nbr string"))
+    found = []
+    for blocks in (1, 6):
+        ids = K.numbered(whole, blocks).cache()
+        sizes = {r.b: r.n for r in ids.groupBy(K.F.shiftright("id", 16).alias("b")).agg(K.F.count("*").alias("n")).collect()}
+        to = ids.select(K.F.col("node").alias("nbr"), K.F.col("id").alias("_to"))
+        links = K._packed_links(whole.filter("node <> nbr").join(to, "nbr").join(ids, "node").select("id", K.F.col("_to").alias("nbr")), blocks)
+        rows = K.walk_pairs_by_meeting(links, sizes, blocks, 8, 50, 0.5, 2.0, 1, 42).collect()
+        name = {r.id: r.node for r in ids.collect()}
+        pairs = [tuple(sorted((name[r.lo << 16 | int(a)], name[r.hi << 16 | int(b)]))) for r in rows for a, b in np.frombuffer(r.data, np.uint16).reshape(-1, 2)]
+        # A window of one holds the steps: 50 walks of 7 steps from each of 20 nodes, all along links.
+        assert len(pairs) == 50 * 7 * 20 and set(pairs) <= {tuple(sorted(r)) for r in cliques.collect()}
+        assert len({(r.lo, r.hi) for r in rows}) == len({(r.lo, r.hi, r["round"], r.task) for r in rows})
+        found.append(pairs.count(("a0", "b0")))
+        got = {r.node: r.vec for r in K.walk_vectors(whole, 8, 8, 20, 0.5, 2.0, 5, 42, 420 if blocks == 1 else 70).collect()}
+        assert len(got) == 21 and all(len(v) == 8 and np.isfinite(v).all() for v in got.values())
+    assert 0 < min(found) and max(found) < 2 * min(found)
+
+
+@pytest.mark.parametrize("blocks", [2, 6, 24])
+def test_every_two_blocks_meet_once(blocks):
+    when, where = K.meetings(blocks)
+    for r in range(blocks - 1):
+        met = [(a, b) for a in range(blocks) for b in range(a + 1, blocks) if when[a, b] == r]
+        assert len(met) == blocks // 2 == len({where[m] for m in met}) and {x for m in met for x in m} == set(range(blocks))
+    assert all(when[a, a] == 0 and any(when[a, b] == 0 and where[a, b] == where[a, a] for b in range(blocks) if b != a) for a in range(blocks))
+
+
+@pytest.mark.parametrize("p, q", [(0.25, 4.0), (2.0, 0.5), (1.0, 1.0)])
+def test_block_steps_have_their_weights(p, q):
+    # a-b, a-c, b-c, b-d: from a over b back to a, to the common neighbour c, or on to d.
+    keys = np.array([a << 32 | b for a, near in enumerate([(1, 2), (0, 2, 3), (0, 1), (1,)]) for b in near], np.int64)
+    path = np.tile(np.array([[0, 1]], np.int32), (20_000, 1))
+    took = K.taken(path, *K.proposed(np.arange(20_000), path, keys, p, q, 42), keys, q)
+    want = np.array([1 / p, 1, 1 / q]) / (1 / p + 1 + 1 / q)
+    assert np.allclose([(took == x).mean() for x in (0, 2, 3)], want, atol=0.015)
+
+
+def test_node2vec_of_no_links(spark):
+    assert L.node2vec(spark.createDataFrame([], "node string, nbr string")).count() == 0
+
+
+def test_first_vectors_are_sums_of_neighbours_signs():
+    keys = np.array([0 << 32 | 1, 0 << 32 | 2, 1 << 32 | 65537], np.int64)
+    x, signs, *_ = K.first_vectors(7, 0, 3, keys, 70, part=1)
+    assert np.allclose(x[0] * np.linalg.norm(signs[1] + signs[2]), signs[1] + signs[2], atol=1e-5) and np.allclose(np.linalg.norm(x, axis=1), 1)
+    assert np.allclose(x[1], K.first_vectors(7, 1, 2, keys[:0], 70)[1][1]) and np.allclose(x[2], signs[2])
+
+
+def test_row_updates_add_up_equal_rows():
+    x, squares, g = np.zeros((3, 2), np.float32), np.zeros(3, np.float32), np.array([[1, 0], [0, 2], [3, 0]], np.float32)
+    K._add(x, squares, np.array([2, 0, 2]), g)
+    assert np.allclose(squares, [2, 0, 8]) and np.allclose(x, [[0, 2 * K.RATE / 2**0.5], [0, 0], [4 * K.RATE / 8**0.5, 0]])
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(1)
