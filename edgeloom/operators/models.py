@@ -2,8 +2,8 @@
 
 Classifiers take (label, features, split) with split train, val or test; they
 choose by the area under the precision-recall curve on val. Embeddings of
-graphs larger than a machine come from walks and Word2Vec or from block power
-iteration by joins; both only use joins, aggregates and pyspark.ml.
+graphs larger than a machine come from walks and skip-gram on blocks of nodes
+or from block power iteration by joins.
 """
 
 from __future__ import annotations
