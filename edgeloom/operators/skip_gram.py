@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from edgeloom.operators.graph import _mixed, proposals
 from edgeloom.plans.durable import discard, materialise, release
 
-#: Nodes and links of a block, on average; a node's place in its block has 16 bits.
-NODES_A_BLOCK, LINKS_A_BLOCK = 50_000, 2_000_000
+#: Nodes and links of a block, on average; a node's place in its block has 17 bits.
+NODES_A_BLOCK, LINKS_A_BLOCK = 100_000, 2_000_000
 #: Blocks come by the dozen once there are as many nodes as keep a dozen busy.
 DOZEN, WORTH_A_DOZEN = 12, 48_000
 #: Pairs a step, noise nodes that they share, and the weight of all noise of a pair.
 BATCH, NOISE, NOISE_WEIGHT = 1024, 64, 5.0
 RATE = 0.1
-_PLACE = 16
+_PLACE = 17
 
 
 def block_count(nodes: int, links: int, walks: int, walks_a_task: int) -> int:
@@ -155,15 +155,26 @@ def pairs_of(walk: np.ndarray, path: np.ndarray, window: int, seed: int) -> tupl
     return np.concatenate(a), np.concatenate(b)
 
 
+def packed_pairs(pairs: np.ndarray) -> bytes:
+    """Pairs of places: the low 16 bits of each, then all high bits."""
+    return pairs.astype(np.uint16).tobytes() + np.packbits((pairs >> 16).astype(np.uint8).ravel()).tobytes()
+
+
+def unpacked_pairs(data) -> np.ndarray:
+    n = 4 * len(data) // 17
+    high = np.unpackbits(np.frombuffer(data, np.uint8, offset=4 * n), count=2 * n)
+    return (np.frombuffer(data, np.uint16, 2 * n).astype(np.int32) | (high.astype(np.int32) << 16)).reshape(n, 2)
+
+
 def _sent_pairs(walk: np.ndarray, path: np.ndarray, window: int, seed: int, when: np.ndarray, where: np.ndarray) -> list[tuple]:
     a, b = pairs_of(walk, path, window, seed)
     swap = (a >> _PLACE) > (b >> _PLACE)
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     meet = (a >> _PLACE).astype(np.int64) * len(when) + (b >> _PLACE)
     order = np.argsort(meet, kind="stable")
-    meet, both = meet[order], np.stack([a[order], b[order]], axis=1).astype(np.uint16)
+    meet, both = meet[order], np.stack([a[order], b[order]], axis=1) & ((1 << _PLACE) - 1)
     at = np.flatnonzero(np.diff(meet, prepend=-1))
-    cuts = [(*divmod(int(meet[s]), len(when)), both[s:e].tobytes()) for s, e in zip(at, [*at[1:], len(meet)])]
+    cuts = [(*divmod(int(meet[s]), len(when)), packed_pairs(both[s:e])) for s, e in zip(at, [*at[1:], len(meet)])]
     return [(when[lo, hi], where[lo, hi], lo, hi, data) for lo, hi, data in cuts]
 
 
@@ -311,7 +322,7 @@ def first_vectors(seed: int, block: int, nodes: int, keys: np.ndarray, dimension
 
 
 def skip_gram(links: DataFrame, pairs: DataFrame, sizes: dict[int, int], blocks: int, dimension: int, seed: int) -> DataFrame:
-    """(block, data): the vectors of each block, trained on all pairs once.
+    """(block, data): the vectors of each block, trained on all pairs once; ``links`` is deleted.
 
     In a round each task has two blocks, and the pairs between them; after all
     rounds every two have met.
@@ -328,7 +339,7 @@ def skip_gram(links: DataFrame, pairs: DataFrame, sizes: dict[int, int], blocks:
                 met = defaultdict(list)
                 for vectors, lo, hi, d in rows:
                     if not vectors:
-                        met[lo, hi].append(np.frombuffer(d, np.uint16).reshape(-1, 2))
+                        met[lo, hi].append(unpacked_pairs(d))
                 for lo, hi in sorted(met):
                     own = np.concatenate(met.pop((lo, hi)))
                     own = own[np.lexsort((own[:, 1], own[:, 0]))]
@@ -344,6 +355,7 @@ def skip_gram(links: DataFrame, pairs: DataFrame, sizes: dict[int, int], blocks:
                 yield from _rows(model_arrow, [(block, b"".join(x.tobytes() for x in first_vectors(seed, block, sizes[block], np.frombuffer(data, np.int64), dimension)))])
 
     model = materialise(links.repartitionById(blocks, F.col("block")).mapInArrow(start, "block int, data binary"), "model")
+    discard(links)
     for r in range(max(1, blocks - 1)):
         with_whom = [next((where[a, b] for b in range(blocks) if b != a and when[a, b] == r), 0) for a in range(blocks)]
         task = F.element_at(F.array(*[F.lit(int(t)) for t in with_whom]), F.col("block") + 1)
@@ -362,11 +374,11 @@ def walk_vectors(adjacency: DataFrame, dimension: int, length: int, walks: int,
     blocks = block_count(nodes, links, nodes * walks, walks_a_task)
     ids = numbered(adjacency, blocks)
     sizes = {r.b: r.n for r in ids.groupBy(F.shiftright("id", _PLACE).alias("b")).agg(F.count("*").alias("n")).collect()}
-    linked = adjacency.filter("node <> nbr").join(ids.select(F.col("node").alias("nbr"), F.col("id").alias("_to")), "nbr").join(ids, "node").select("id", F.col("_to").alias("nbr"))
+    once = adjacency.filter("node < nbr").join(ids.select(F.col("node").alias("nbr"), F.col("id").alias("_to")), "nbr").join(ids, "node")
+    linked = once.select(F.inline(F.array(F.struct(F.col("id"), F.col("_to").alias("nbr")), F.struct(F.col("_to").alias("id"), F.col("id").alias("nbr")))))
     packed = _packed_links(linked, blocks)
     pairs = walk_pairs_by_meeting(packed, sizes, blocks, length, walks, p, q, window, seed)
     model = skip_gram(packed, pairs, sizes, blocks, dimension, seed)
-    discard(packed)
     discard(pairs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,12 +43,12 @@ def test_node2vec_trains_each_pair_once_in_any_number_of_blocks(spark, cliques):
     found = []
     for blocks in (1, 6):
         ids = K.numbered(whole, blocks).cache()
-        sizes = {r.b: r.n for r in ids.groupBy(K.F.shiftright("id", 16).alias("b")).agg(K.F.count("*").alias("n")).collect()}
+        sizes = {r.b: r.n for r in ids.groupBy(K.F.shiftright("id", K._PLACE).alias("b")).agg(K.F.count("*").alias("n")).collect()}
         to = ids.select(K.F.col("node").alias("nbr"), K.F.col("id").alias("_to"))
         links = K._packed_links(whole.filter("node <> nbr").join(to, "nbr").join(ids, "node").select("id", K.F.col("_to").alias("nbr")), blocks)
         rows = K.walk_pairs_by_meeting(links, sizes, blocks, 8, 50, 0.5, 2.0, 1, 42).collect()
         name = {r.id: r.node for r in ids.collect()}
-        pairs = [tuple(sorted((name[r.lo << 16 | int(a)], name[r.hi << 16 | int(b)]))) for r in rows for a, b in np.frombuffer(r.data, np.uint16).reshape(-1, 2)]
+        pairs = [tuple(sorted((name[r.lo << K._PLACE | int(a)], name[r.hi << K._PLACE | int(b)]))) for r in rows for a, b in K.unpacked_pairs(r.data)]
         # A window of one holds the steps: 50 walks of 7 steps from each of 20 nodes, all along links.
         assert len(pairs) == 50 * 7 * 20 and set(pairs) <= {tuple(sorted(r)) for r in cliques.collect()}
         assert len({(r.lo, r.hi) for r in rows}) == len({(r.lo, r.hi, r["round"], r.task) for r in rows})
@@ -82,12 +82,18 @@ def test_node2vec_of_no_links(spark):
 
 
 def test_first_vectors_are_sums_of_neighbours_signs():
-    keys = np.array([0 << 32 | 1, 0 << 32 | 2, 1 << 32 | 65537], np.int64)
+    keys = np.array([0 << 32 | 1, 0 << 32 | 2, 1 << 32 | 1 << K._PLACE | 1], np.int64)
     x, signs, *_ = K.first_vectors(7, 0, 3, keys, 70, part=1)
     assert np.allclose(x[0] * np.linalg.norm(signs[1] + signs[2]), signs[1] + signs[2], atol=1e-5) and np.allclose(np.linalg.norm(x, axis=1), 1)
     assert np.allclose(x[1], K.first_vectors(7, 1, 2, keys[:0], 70)[1][1]) and np.allclose(x[2], signs[2])
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 1000])
+def test_packed_pairs_come_back(n):
+    pairs = np.random.default_rng(n).integers(0, 1 << 17, (n, 2))
+    assert (K.unpacked_pairs(K.packed_pairs(pairs)) == pairs).all()
+
+
 def test_row_updates_add_up_equal_rows():
     x, squares, g = np.zeros((3, 2), np.float32), np.zeros(3, np.float32), np.array([[1, 0], [0, 2], [3, 0]], np.float32)
     K._add(x, squares, np.array([2, 0, 2]), g)
